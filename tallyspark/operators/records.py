@@ -127,6 +127,10 @@ def parsed(line: Column) -> Column:
     return _parsed(line.cast("string"))
 
 
+#: Marked so that a filter on the result does not make the planner run it a second time.
+_parsed = _parsed.asNondeterministic()
+
+
 def rejects(df: DataFrame, key: str = "line_id", line: str = "raw_line") -> DataFrame:
     """(key, reason) of the records that give no valid row."""
     out = df.select(F.col(f"`{key}`").alias(key), parsed(F.col(f"`{line}`")).alias("_parsed"))
