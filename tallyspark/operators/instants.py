@@ -234,7 +234,8 @@ def _converter(rules: dict[str, tuple[str, bool]]) -> Callable:
     def instants(texts: pa.Array, feeds: pa.Array) -> pa.Array:
         return convert(texts, feeds, zones)
 
-    return instants
+    # marked so that a filter on the result does not make the planner run it a second time
+    return instants.asNondeterministic()
 
 
 def with_instants(df: DataFrame, text: str, feed: str, feed_zones: DataFrame, out: str = "utc_us") -> DataFrame:
