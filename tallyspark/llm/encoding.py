@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 
 from tallyspark.llm.bpe import Transducer, read_ranks
 
+# The functions below are marked nondeterministic only so that a filter on their result does not make the
+# planner run them a second time; their results are the same in every run.
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A rank file is configuration; a larger one is refused, as its content is broadcast.
 MAX_VOCABULARY_BYTES = 64_000_000
@@ -68,7 +71,7 @@ def token_ids(spark: SparkSession, text: Column, path: str | None = None) -> Col
         flat = np.fromiter((i for x in lists for i in x), np.int32, int(ends[-1]))
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
-    return ids(text.cast("string"))
+    return ids.asNondeterministic()(text.cast("string"))
 
 
 def token_counts(spark: SparkSession, text: Column, path: str | None = None) -> Column:
@@ -80,7 +83,7 @@ def token_counts(spark: SparkSession, text: Column, path: str | None = None) ->
         encode = transducer(shared.value).encode
         return pa.array([len(encode(t)) for t in texts.to_pylist()], pa.int64())
 
-    return counts(text.cast("string"))
+    return counts.asNondeterministic()(text.cast("string"))
 
 
 def texts_of(spark: SparkSession, ids: Column, path: str | None = None) -> Column:
@@ -92,4 +95,4 @@ def texts_of(spark: SparkSession, ids: Column, path: str | None = None) -> Colum
         decode = transducer(shared.value).decode
         return pa.array([decode(x or ()) for x in lists.to_pylist()], pa.string())
 
-    return texts(ids)
+    return texts.asNondeterministic()(ids)
