@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import encoding, format_duplicates, grouped_split, mixing
+from tallyspark.llm import encoding, format_duplicates, grouped_split, history, mixing
+from tallyspark.operators.instants import feed_rules
 from tallyspark.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id_a, row_id_b): first row of a payment and each later row of it."""
+    rules = feed_rules(table(spark, folder, "feed_zones"))
+    found = history.payments(table(spark, folder, "canonical_transactions"), rules)
+    return found.select(F.col("first").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id_a, row_id_b): first row of a record and each further copy."""
     rows = table(spark, folder, "bank_statement", "row_id", "reference", "date", "amount", "payer", "narration", "direction")
@@ -75,6 +83,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_records": p2_records,
     "p6_found": p6_found,
