@@ -26,3 +26,14 @@ def join_summaries(rows: DataFrame, groups: DataFrame, keys: list[str], size: st
     near = rows.join(F.broadcast(hot), keys)
     far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return near.unionByName(far)
+
+
+#: A frame of at most so many rows of a few numbers (a few MB) is broadcast by ``without``.
+SMALL_ROWS = 100_000
+
+
+def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Anti-join of ``rows`` with a checkpointed frame of ``keys``: without a shuffle of ``rows`` if the keys
+    are counted to be few, by a shuffle otherwise."""
+    few = keys.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return rows.join(F.broadcast(keys.select(*on)) if few else keys.select(*on), on, "left_anti")
