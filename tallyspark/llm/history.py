@@ -33,11 +33,12 @@ from pyspark.sql import types as T
 from tallyspark.llm import names
 from tallyspark.operators.components import connected_components
 from tallyspark.operators.instants import utc_micros
-from tallyspark.operators.skew import join_summaries
-from tallyspark.session import cut
+from tallyspark.operators.skew import join_summaries, without
+from tallyspark.session import cut, cut_table
 
 MAX_DAYS = 3
 DAY_US = 86_400_000_000
+WINDOW_US = 2 * (MAX_DAYS + 1) * DAY_US
 #: Shorter digit strings are placeholders, not references.
 MIN_DIGITS = 6
 _COLUMNS = ("row_id", "source", "reference", "raw_reference", "posted_at", "payer_name", "narration", "amount_minor")
@@ -88,33 +89,39 @@ def _name_words(payers: pa.Array, narrations: pa.Array) -> pa.Array:
 _name_words = _name_words.asNondeterministic()  # run once, also under filters
 
 
+def _key(*parts) -> Column:
+    """48 bits of a hash: shorter to move than 64, and rare collisions only cost a verification."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 16)
+
+
 def _reference_segments(window: Column) -> list[Column]:
     """Index entries of a row: three segments of its digits, in one time window."""
     d, n = F.col("digits"), F.length("digits")
     base, extra = F.floor(n / 3).cast("int"), (n % 3).cast("int")
     middle = base + F.when(extra == 2, 1).otherwise(0)
     spans = [(F.lit(0), base), (base, middle), (base + middle, n - base - middle)]
-    return [F.xxhash64(F.lit(k), "amount", window, n, F.substring(d, start + 1, size)) for k, (start, size) in enumerate(spans)]
+    return [_key(F.lit(k), "amount", window, n, F.substring(d, start + 1, size)) for k, (start, size) in enumerate(spans)]
 
 
-def _reference_probes(window: Column) -> list[Column]:
-    """The nineteen substrings that any string within two edits must share a segment with."""
+def _reference_probes(window: Column, longer: bool) -> list[Column]:
+    """The substrings that any string within two edits must share a segment with: nineteen, of which the
+    twelve for strings that are not longer suffice if every row probes every other."""
     d, out = F.col("digits"), []
-    for shift in range(-2, 3):  # own length minus the other's
+    for shift in range(-2 if longer else 0, 3):  # own length minus the other's
         n = F.length("digits") - shift
         base, extra = F.floor(n / 3).cast("int"), (n % 3).cast("int")
         middle = base + F.when(extra == 2, 1).otherwise(0)
         places = [(0, F.lit(0), base)]
         places += [(1, base + move, middle) for move in range(max(-1, shift - 1), min(1, shift + 1) + 1)]
         places += [(2, base + middle + shift, n - base - middle)]
-        out += [F.xxhash64(F.lit(k), "amount", window, n, F.substring(d, start + 1, size)) for k, start, size in places]
+        out += [_key(F.lit(k), "amount", window, n, F.substring(d, start + 1, size)) for k, start, size in places]
     return out
 
 
 def _word_segments(word: Column, day: Column) -> Column:
     n = F.length(word)
     half = F.floor(n / 2).cast("int")
-    entry = lambda k, start, size: F.xxhash64(F.lit(k), F.col("amount"), day, n, F.substring(word, start + 1, size))
+    entry = lambda k, start, size: _key(F.lit(k), F.col("amount"), day, n, F.substring(word, start + 1, size))
     return F.array(entry(10, F.lit(0), half), entry(11, half, n - half))
 
 
@@ -124,7 +131,7 @@ def _word_probes(word: Column, day: Column) -> Column:
         n = F.length(word) - shift
         half = F.floor(n / 2).cast("int")
         for k, start, size in ((10, F.lit(0), half), (11, half + shift, n - half)):
-            out.append(F.xxhash64(F.lit(k), F.col("amount"), day, n, F.substring(word, start + 1, size)))
+            out.append(_key(F.lit(k), F.col("amount"), day, n, F.substring(word, start + 1, size)))
     return F.array(*out)
 
 
@@ -134,11 +141,18 @@ def _days() -> Column:
     return F.when(F.col("t").isNull(), F.array().cast("array<bigint>")).when(F.col("date_only"), F.array(day, day + 1)).otherwise(F.array(day))
 
 
+def _window() -> Column:
+    """Windows twice as long as two postings of a payment may lie apart, a day more for dates alone."""
+    return F.floor(F.col("t") / WINDOW_US).cast("bigint")
+
+
 def index_entries(rows: DataFrame) -> DataFrame:
-    """(key, row_id): what the history stores of each row."""
-    window = F.floor(F.col("t") / (MAX_DAYS * DAY_US)).cast("bigint")
-    exact = F.array(F.xxhash64(F.lit(20), "amount", "digits"))
-    near = F.flatten(F.transform(F.array(window - 1, window, window + 1), lambda w: F.array(*_reference_segments(w))))
+    """(key, row_id): what the history stores of each row; reference segments in the row's window and in
+    the neighbour nearer to it, so that whatever lies within the limit looks into one of the two."""
+    window = _window()
+    nearer = window + F.when(F.pmod(F.col("t"), F.lit(WINDOW_US)) < WINDOW_US // 2, -1).otherwise(1)
+    exact = F.array(_key(F.lit(20), "amount", "digits"))
+    near = F.flatten(F.transform(F.array(window, nearer), lambda w: F.array(*_reference_segments(w))))
     words = F.flatten(F.flatten(F.transform("words", lambda w: F.transform(_days(), lambda d: _word_segments(w, d)))))
     keys = F.concat(
         F.when(F.col("digits") != "", F.when(F.col("t").isNull(), exact).otherwise(F.concat(exact, near))).otherwise(F.array().cast("array<bigint>")),
@@ -147,13 +161,15 @@ def index_entries(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array_distinct(keys)).alias("key"), "row_id")
 
 
-def probe_entries(rows: DataFrame) -> DataFrame:
-    """(key, row_id): what a new row looks up. Words are looked up by rows without a reference."""
-    window = F.floor(F.col("t") / (MAX_DAYS * DAY_US)).cast("bigint")
-    exact = F.array(F.xxhash64(F.lit(20), "amount", "digits"))
-    near = F.array(*_reference_probes(window))
+def probe_entries(rows: DataFrame, longer: bool = True) -> DataFrame:
+    """(key, row_id): what a new row looks up. Words are looked up by rows without a reference.
+    longer: also look for longer references; not needed where those look for this row."""
+    window = _window()
+    exact = F.array(_key(F.lit(20), "amount", "digits"))
+    near = F.array(*_reference_probes(window, longer))
     words = F.flatten(F.flatten(F.transform("words", lambda w: F.transform(_days(), lambda d: _word_probes(w, d)))))
-    keys = F.when(F.col("digits") != "", F.when(F.col("t").isNull(), exact).otherwise(F.concat(exact, near))).otherwise(words)
+    timed = F.concat(exact, near) if longer else near  # a row without time looks for equal references itself
+    keys = F.when(F.col("digits") != "", F.when(F.col("t").isNull(), exact).otherwise(timed)).otherwise(words)
     return rows.select(F.explode(F.array_distinct(keys)).alias("key"), "row_id")
 
 
@@ -201,19 +217,20 @@ def verified_pairs(pairs: DataFrame, history: DataFrame, batch: DataFrame) -> Da
 
 
 def collapse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(first rows, (row_id, first) of the others): rows that agree in all compared values."""
+    """(rows without exact repeats, (row_id, first) of the repeats): repeats agree in all compared values.
+    ``rows`` is read several times: pass a checkpointed frame."""
     same = ["amount", *_COMPARED]
-    keyed = rows.withColumn("_h", F.xxhash64(*same))
-    groups = cut(keyed.groupBy("_h", *same).agg(F.min("row_id").alias("first"), F.count("*").alias("_n")))
-    firsts = groups.select(F.col("first").alias("row_id"), *same)
-    repeated = groups.where("_n > 1").select("_h", "first", "_n", *(F.col(c).alias(f"_{c}") for c in same))
+    keyed = rows.select("row_id", F.xxhash64(*same).alias("_h"), *same)
+    digests = cut(keyed.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1"))
+    suspects = cut(join_summaries(keyed, digests, ["_h"], "_n"))
+    groups = suspects.groupBy("_h", *same).agg(F.min("row_id").alias("first"), F.count("*").alias("_n")).where("_n > 1")
+    groups = cut(groups.select("_h", "first", "_n", *(F.col(c).alias(f"_{c}") for c in same)))
     agree = None
-    for c in same:
+    for c in same:  # groups of one digest but other values are told apart
         term = F.col(c).eqNullSafe(F.col(f"_{c}"))
         agree = term if agree is None else agree & term
-    # groups of one digest but other values are told apart by the comparison after the join
-    others = join_summaries(keyed, repeated, ["_h"], "_n").where(agree & (F.col("row_id") != F.col("first"))).select("row_id", "first")
-    return firsts, others
+    others = cut(join_summaries(suspects, groups, ["_h"], "_n").where(agree & (F.col("row_id") != F.col("first"))).select("row_id", "first"))
+    return without(rows, others, ["row_id"]), others
 
 
 def with_words(rows: DataFrame) -> DataFrame:
@@ -228,9 +245,8 @@ def candidates(index: DataFrame, probes: DataFrame) -> DataFrame:
 
 def payments(df: DataFrame, rules: dict[str, tuple[str, bool]]) -> DataFrame:
     """(first, row_id): every row that repeats an earlier payment of the same table, all batches at once."""
-    firsts, others = collapse(attributes(df, rules))
-    rows = cut(with_words(firsts))
-    pairs = candidates(index_entries(rows), probe_entries(rows))
+    rows, others = collapse(cut_table(with_words(attributes(df, rules))))
+    pairs = candidates(index_entries(rows), probe_entries(rows, longer=False))
     links = verified_pairs(pairs, rows, rows)
     edges = cut(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     groups = cut(connected_components(edges))
