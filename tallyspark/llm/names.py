@@ -28,6 +28,8 @@ def plain(text: str | None) -> str:
     """Lower case without accents."""
     if not text:
         return ""
+    if text.isascii():
+        return text.lower().replace("'", "")
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c)).replace("'", "").replace("’", "")
 
 
@@ -59,7 +61,7 @@ def slack(n: int) -> int:
     return 0 if n < 3 else 1 if n < 6 else 2
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=500_000)
 def fold(token: str) -> str:
     """Digits that stand for letters inside a word, as letters."""
     return token.translate(_LOOKALIKE) if not token.isdigit() and any(c.isalpha() for c in token) else token
@@ -70,22 +72,36 @@ def is_class(token: str) -> bool:
     return bool(_CLASS.match(token))
 
 
-@lru_cache(maxsize=200_000)
+def _shortened(word: str) -> set[str]:
+    return {word[:k] + word[k + 1 :] for k in range(len(word))}
+
+
+_LONG = [f for f in FILLERS if len(f) >= 5]
+#: Every long filler under itself and its forms with one letter less: near words share such a form.
+_NEAR: dict[str, list[str]] = {}
+for _filler in sorted(_LONG):
+    for _form in {_filler, *_shortened(_filler)}:
+        _NEAR.setdefault(_form, []).append(_filler)
+
+
+@lru_cache(maxsize=500_000)
 def is_filler(token: str) -> bool:
     """A word that names nobody, also with one typing error if it has at least five letters."""
-    if token in FILLERS or fold(token) in FILLERS or is_class(token) or re.match(r"^(?:1st|2nd|3rd)$", token):
-        return True
     folded = fold(token)
-    return len(folded) >= 5 and any(len(f) >= 5 and abs(len(f) - len(folded)) <= 1 and distance(folded, f, 1) <= 1 for f in FILLERS)
+    if token in FILLERS or folded in FILLERS or is_class(token) or token in ("1st", "2nd", "3rd"):
+        return True
+    if len(folded) < 5:
+        return False
+    return any(distance(folded, f, 1) <= 1 for form in (folded, *_shortened(folded)) for f in _NEAR.get(form, ()))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def name_tokens(text: str | None) -> tuple[str, ...]:
     """The folded words of a text that may name somebody; short ones too."""
     return tuple(fold(t) for t in _RUN.findall(plain(text)) if not is_filler(t) and t not in TITLES)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def all_tokens(text: str | None) -> tuple[str, ...]:
     return tuple(fold(t) for t in _RUN.findall(plain(text)))
 
