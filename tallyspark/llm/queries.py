@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import encoding, format_duplicates, grouped_split, history, mixing
+from tallyspark.llm import encoding, format_duplicates, grouped_split, history, mixing, split_overlap
 from tallyspark.operators.instants import feed_rules
 from tallyspark.tables import table
 
@@ -29,6 +29,21 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     return format_duplicates.records(rows).select(F.col("first").alias("row_id"), "copies")
 
 
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "gold_cases", "case_no", "split", "provenance", "setup", "txn")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(case_no_a, case_no_b): pairs of a training and an evaluation case that are the same record."""
+    return split_overlap.overlaps(_labelled(spark, folder))
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """(split, provenance, cases, in_train, pairs): overlaps per evaluation split and source."""
+    cases = _labelled(spark, folder)
+    return split_overlap.report(cases, split_overlap.overlaps(cases))
+
+
 def _cases(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "gold_cases", "case_no", "scenario_family", "setup", "txn")
 
@@ -86,6 +101,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p6_deviations": p6_deviations,
