@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import encoding, format_duplicates, grouped_split, history, mixing, split_overlap
+from tallyspark.llm import encoding, format_duplicates, grouped_split, history, mixing, page_spam, split_overlap
 from tallyspark.operators.instants import feed_rules
 from tallyspark.tables import table
 
@@ -97,6 +97,11 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id): pages of repeated keywords, links or tags."""
+    return page_spam.spam_pages(table(spark, folder, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -110,5 +115,6 @@ QUERIES = {
     "p8_roundtrip": p8_roundtrip,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
 }
 ORACLE: dict[str, str] = {}
