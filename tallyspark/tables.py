@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.session import ship_package
+
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """One table of ``folder``; with ``columns``, only those (so that the scan reads no others)."""
+    ship_package(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
 
