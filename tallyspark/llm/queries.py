@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import encoding, format_duplicates, grouped_split, history, mixing, page_spam, split_overlap
+from tallyspark.llm import encoding, entity_links, format_duplicates, grouped_split, history, mixing, page_spam, split_overlap
 from tallyspark.operators.instants import feed_rules
 from tallyspark.tables import table
 
@@ -44,6 +44,26 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return split_overlap.report(cases, split_overlap.overlaps(cases))
 
 
+def _matches(spark: SparkSession, folder: str) -> DataFrame:
+    return entity_links.matches(
+        table(spark, folder, "bank_statement", "row_id", "payer", "narration", "amount"),
+        table(spark, folder, "students", "student_id", "name", "class", "aliases"),
+        table(spark, folder, "guardians", "guardian_id", "name"),
+        table(spark, folder, "student_guardians", "student_id", "guardian_id"),
+        table(spark, folder, "fees", "student_id", "fee_id", "term_id", "amount"),
+    )
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id, student_id): statement rows and the students they pay for."""
+    return _matches(spark, folder).select("row_id", "student_id")
+
+
+def p4_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id, student_id, confidence): the same with the label model's posterior."""
+    return _matches(spark, folder).select("row_id", "student_id", F.round("confidence", 6).alias("confidence"))
+
+
 def _cases(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "gold_cases", "case_no", "scenario_family", "setup", "txn")
 
@@ -108,6 +128,8 @@ QUERIES = {
     "p2_records": p2_records,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p4_found": p4_found,
+    "p4_confidence": p4_confidence,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p6_deviations": p6_deviations,
