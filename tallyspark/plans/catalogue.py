@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyspark.plans import problems
+from tallyspark.plans import evaluation_queries, ingest_queries, ledger_queries, problems
 
-_MODULES = (problems,)
+_MODULES = (ledger_queries, ingest_queries, evaluation_queries, problems)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
