@@ -23,6 +23,7 @@ any length are read as a whole.
 from __future__ import annotations
 
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from tallyspark.session import cut, cut_table
 
 #: A payer with at least 1/COLLECTIVE of all rows is no person (so there are at most COLLECTIVE of them).
 COLLECTIVE = 1_000
+#: So many of the commonest names are broadcast, whatever the size of the vocabulary.
+COMMON = 20_000
 #: Least confidence of a link.
 CONFIDENT = 0.5
 #: Outcomes of the six voting functions; their product bounds the patterns collected.
@@ -47,32 +50,40 @@ EXACT, FUZZY, SHORT, ALIAS, SURNAME, OTHER, GUARDIAN, GIVEN, FAMILY, OWN, INITIA
 _WORDS = T.StructType([T.StructField("w", T.ArrayType(T.StringType())), T.StructField("i", T.ArrayType(T.StringType())), T.StructField("p", T.ArrayType(T.StringType()))])
 
 
+_RUN = re.compile(r"[^\W_]+")
 #: Words that tell what a payment is for, which a payer's name does not.
 _PURPOSE = frozenset("fee fees school schl sch tuition pymt payment payments term balance".split())
 
 
-def payer_tokens(text: str | None) -> list[str]:
-    """The words of a person's name and, for each, the initials of the others with it ('g.aweguso')."""
-    every = [t for t in names.all_tokens(text) if t not in names.TITLES and t.isalpha()]
-    long = [t for t in every if len(t) > 2]
-    out = list(dict.fromkeys(long))
+def _words(text: str | None) -> list[str]:
+    return [names.fold(t) for t in _RUN.findall(names.plain(text))]
+
+
+def _person_tokens(every: list[str]) -> list[str]:
+    every = [t for t in every if t not in names.TITLES and t.isalpha()]
+    out = dict.fromkeys(t for t in every if len(t) > 2)
     for k, t in enumerate(every):
         for m, u in enumerate(every):
             if k != m and len(u) > 2:
-                out.append(f"{t[0]}.{u}")
-    return list(dict.fromkeys(out))
+                out[f"{t[0]}.{u}"] = None
+    return list(out)
+
+
+def payer_tokens(text: str | None) -> list[str]:
+    """The words of a person's name and, for each, the initials of the others with it ('g.aweguso')."""
+    return _person_tokens(_words(text))
 
 
 @F.arrow_udf(_WORDS)
 def _row_words(narrations: pa.Array, payers: pa.Array) -> pa.Array:
     w, i, p = [], [], []
     for n, q in zip(narrations.to_pylist(), payers.to_pylist()):
-        if not _PURPOSE.isdisjoint(names.all_tokens(q)) and _PURPOSE.isdisjoint(names.all_tokens(n)):
-            n, q = q, n  # the fields are exchanged: the payer reads like a narration
-        tokens = [t for t in names.all_tokens(n) if t.isalpha() and not names.is_filler(t) and t not in names.TITLES]
-        w.append(list(dict.fromkeys(t for t in tokens if len(t) > 2)))
-        i.append(list(dict.fromkeys(t for t in names.all_tokens(n) if len(t) == 1 and t.isalpha())))
-        p.append(payer_tokens(q))
+        told, payer = _words(n), _words(q)
+        if not _PURPOSE.isdisjoint(payer) and _PURPOSE.isdisjoint(told):
+            told, payer = payer, told  # the fields are exchanged: the payer reads like a narration
+        w.append(list(dict.fromkeys(t for t in told if len(t) > 2 and t.isalpha() and t not in names.TITLES and not names.is_filler(t))))
+        i.append(list(dict.fromkeys(t for t in told if len(t) == 1 and t.isalpha())))
+        p.append(_person_tokens(payer))
     kind = pa.list_(pa.string())
     return pa.StructArray.from_arrays([pa.array(w, kind), pa.array(i, kind), pa.array(p, kind)], ["w", "i", "p"])
 
@@ -91,15 +102,21 @@ _row_words, _tokens, _person = (f.asNondeterministic() for f in (_row_words, _to
 
 
 def class_code(text: Column) -> Column:
-    """'P5', 'N2', 'J2', 'S3' of a class in either spelling or quoted in a narration; null if there is none."""
+    """A number for the class in either spelling, or quoted in a narration; null if there is none."""
     pattern = r"(?i)(?<![\p{L}])(jss|ss|primary|pry|p|nursery|nur)[\s\p{Z}.,/_-]*([1-6])[a-e]?(?![\p{L}\p{N}])"
     level, number = F.lower(F.regexp_extract(text, pattern, 1)), F.regexp_extract(text, pattern, 2)
-    return F.when(number != "", F.concat(F.upper(F.substring(level, 1, 1)), number))
+    return F.when(number != "", F.ascii(level) * 10 + number.try_cast("int"))
+
+
+def _pair_key(child: str | Column, context: str | Column) -> Column:
+    """48 bits of a hash of two tokens; a chance collision needs two names and shows as a stray candidate with a
+    probability of one in millions."""
+    return F.shiftrightunsigned(F.xxhash64(child, context), 16)
 
 
 def students_with_keys(students: DataFrame, guardians: DataFrame, links: DataFrame, fees: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(keys, vocabulary). keys: one row per student and pair of tokens (child token, context token) with the
-    evidence it stands for, the student's total fees and class. vocabulary: (token, name) with name true for
+    """(keys, vocabulary). keys: one row per student and pair of tokens (child token, context token), hashed,
+    with the evidence it stands for, the student's total fees and class. vocabulary: (token, name) with name true for
     tokens of names, false for aliases only."""
     surname_first = F.col("name").contains(",")
     own = students.select(
@@ -127,7 +144,9 @@ def students_with_keys(students: DataFrame, guardians: DataFrame, links: DataFra
         F.transform(F.array_except("a", "n"), lambda t: F.struct(t.alias("t"), F.lit(True).alias("alias"))),
     )
     heads = base.where("surname is not null").select("student_id", "level", "total", F.explode(child).alias("x")).select("student_id", "level", "total", "x.t", "x.alias")
-    keys = heads.join(context, "student_id").where("t <> c").select("student_id", "level", "total", "t", "c", "alias", "e")
+    # what a token pair stands for, in one number: context evidence, and whether the child's name is an alias
+    stands = F.col("e").bitwiseOR(F.when(F.col("alias"), ALIAS).otherwise(0))
+    keys = heads.join(context, "student_id").where("t <> c").select(_pair_key("t", "c").alias("key"), "student_id", "level", "total", stands.alias("stands"))
     words = base.select(F.explode("n").alias("token"), F.lit(True).alias("name"))
     words = words.unionByName(base.select(F.explode("a").alias("token"), F.lit(False).alias("name")))
     words = words.unionByName(kin.select(F.explode("g").alias("token"), F.lit(True).alias("name")))
@@ -148,63 +167,65 @@ def _deletions(token: str) -> Column:
 
 
 def token_map(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(token, known, form) of distinct tokens: form EXACT for itself, FUZZY for one edit, SPLIT for one of
-    two names run together, SHORT for a prefix of the known token."""
+    """(token, known, form) of distinct tokens that are no names: form FUZZY for one edit, SPLIT for one of two
+    names run together, SHORT for a prefix of the known token."""
     plain = vocabulary.where(~F.col("token").contains("."))
-    exact = tokens.join(vocabulary, "token").select("token", F.col("token").alias("known"), F.lit(EXACT).alias("form"), "name")
-    named = exact.where("name").select("token")
-    unknown = cut(tokens.where(~F.col("token").contains(".")).join(named, "token", "left_anti"))
-    long = unknown.where("length(token) >= 4")
-    forms = long.select("token", F.explode(_deletions("token")).alias("d"))
+    unknown = cut(tokens.join(vocabulary.where("name").select("token"), "token", "left_anti"))
+    whole = unknown.where(~F.col("token").contains("."))
+    forms = whole.where("length(token) >= 4").select("token", F.explode(_deletions("token")).alias("d"))
     known = plain.where("length(token) >= 4").select(F.col("token").alias("known"), F.explode(_deletions("token")).alias("d"))
-    near = forms.join(known, "d").select("token", "known").where("token <> known").distinct().where(_one_edit("token", "known"))
+    near = cut(forms.join(known, "d").select("token", "known").where("token <> known").distinct().where(_one_edit("token", "known")))
     cuts = F.sequence(F.lit(3), F.length("token") - 3)
-    parts = unknown.where("length(token) >= 8").select("token", F.explode(cuts).alias("k"))
+    parts = whole.where("length(token) >= 8").select("token", F.explode(cuts).alias("k"))
     parts = parts.select("token", F.substring("token", 1, F.col("k")).alias("x"), F.substr(F.col("token"), F.col("k") + 1).alias("y"))
-    whole = plain.where("name and length(token) >= 3").select("token")
-    parts = parts.join(whole.withColumnRenamed("token", "x"), "x").join(whole.withColumnRenamed("token", "y"), "y")
+    names_ = plain.where("name and length(token) >= 3").select("token")
+    parts = parts.join(names_.withColumnRenamed("token", "x"), "x").join(names_.withColumnRenamed("token", "y"), "y")
     parts = parts.select("token", F.explode(F.array("x", "y")).alias("known"))
     lead = plain.where("name").select(F.col("token").alias("known"), F.explode(F.sequence(F.lit(3), F.lit(5))).alias("k")).where("k < length(known)")
-    short = unknown.where("length(token) between 3 and 5").join(lead.select("known", F.substring("known", 1, F.col("k")).alias("token")), "token")
-    inexact = near.withColumn("form", F.lit(FUZZY)).unionByName(parts.withColumn("form", F.lit(SPLIT))).unionByName(short.select("token", "known").withColumn("form", F.lit(SHORT)))
+    short = whole.where("length(token) between 3 and 5").join(lead.select("known", F.substring("known", 1, F.col("k")).alias("token")), "token")
     # an initial with a damaged surname ('g.awegso')
-    damaged = tokens.where(F.col("token").contains(".")).join(vocabulary.select("token"), "token", "left_anti").select("token", F.substring("token", 1, 2).alias("i"), F.substr(F.col("token"), F.lit(3)).alias("r"))
-    mended = damaged.join(near.select(F.col("token").alias("r"), "known"), "r").select("token", F.concat("i", "known").alias("known"), F.lit(FUZZY).alias("form"))
-    return exact.select("token", "known", "form").unionByName(inexact).unionByName(mended).groupBy("token", "known").agg(F.min("form").alias("form"))
+    damaged = unknown.where(F.col("token").contains(".")).select("token", F.substring("token", 1, 2).alias("i"), F.substr(F.col("token"), F.lit(3)).alias("r"))
+    mended = damaged.join(near.select(F.col("token").alias("r"), "known"), "r").select("token", F.concat("i", "known").alias("known"))
+    every = near.withColumn("form", F.lit(FUZZY)).unionByName(mended.withColumn("form", F.lit(FUZZY)))
+    every = every.unionByName(parts.withColumn("form", F.lit(SPLIT))).unionByName(short.select("token", "known").withColumn("form", F.lit(SHORT)))
+    return every.groupBy("token", "known").agg(F.min("form").alias("form"))
 
 
 def candidate_pairs(rows: DataFrame, keys: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(row_id, student_id, bits, heads, covers, known, level, total): every pair of a row and a student that
-    meet. As bits of token positions: heads, the names of the child; covers, all names of the student; known,
-    all known names of the row. rows: (row_id, w, i, p)."""
-    spread = rows.select("row_id", F.posexplode("w").alias("pos", "token"))
-    payer = rows.select("row_id", F.explode("p").alias("token"), F.lit(-1).alias("pos"))
-    spread = cut_table(spread.select("row_id", "pos", "token").unionByName(payer.select("row_id", "pos", "token")))
-    mapping = cut(token_map(spread.select("token").distinct(), vocabulary))
-    met = spread.join(mapping, "token").groupBy("row_id").agg(
-        F.collect_set(F.struct("pos", "known", "form")).alias("m"), F.bit_or(F.when((F.col("pos") >= 0) & (F.col("form") != SHORT), _place("pos")).otherwise(0)).alias("mask")
-    )
-    single = rows.where(F.size("i") > 0).select("row_id", F.transform("i", lambda t: F.struct(F.lit(-2).alias("pos"), t.alias("known"), F.lit(EXACT).alias("form"))).alias("s"))
-    met = met.join(single, "row_id", "left").select("row_id", "m", "mask", F.concat("m", F.coalesce("s", F.array())).alias("around"))
-    heads = met.select("row_id", F.explode(F.filter("m", lambda x: x["pos"] >= 0)).alias("h"), "around", "mask")
-    pairs = heads.select("row_id", "mask", "h", F.explode(F.filter("around", lambda x: (x["pos"] != F.col("h.pos")) | ((F.col("h.form") == SPLIT) & (x["form"] == SPLIT)))).alias("o")).where("h.known <> o.known")
-    pairs = pairs.select("row_id", "mask", F.col("h.pos").alias("pos"), F.col("h.known").alias("t"), F.col("h.form").alias("form"), F.col("o.known").alias("c"), F.col("o.pos").alias("where"))
-    found = pairs.join(keys, ["t", "c"])
-    form = F.when(F.col("alias"), ALIAS).otherwise(F.col("form"))
+    """(row_id, student_id, bits, heads, covers, level, total, amount, row_level, collective): every pair
+    of a row and a student that meet. As bits of token positions: heads, the names of the child; covers, all
+    names of the student. rows: (row_id, w, i, p, amount, row_level, collective)."""
+    frequent = rows.select(F.explode(F.concat("w", "p")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    frequent = cut(frequent)
+    # the commonest names need no mapping and are kept out of its joins; at most COMMON of them
+    common = frequent.join(vocabulary.where("name").select("token"), "token", "left_semi").orderBy(F.desc("n"), "token").limit(COMMON).select("token")
+    mapping = cut(token_map(frequent.select("token").join(F.broadcast(common), "token", "left_anti"), vocabulary))
+    spread = rows.select("row_id", F.posexplode("w").alias("pos", "token")).unionByName(rows.select("row_id", F.lit(-1).alias("pos"), F.explode("p").alias("token")))
+    spread = spread.join(F.broadcast(common), "token", "left_anti")
+    inexact = spread.join(mapping, "token").groupBy("row_id").agg(F.collect_set(F.struct("pos", "known", "form")).alias("m"))
+    # exact tokens stand for themselves; whether they are names shows when they meet a student's
+    at = lambda names_, pos: F.transform(names_, lambda t, k: F.struct((k if pos is None else F.lit(pos)).cast("int").alias("pos"), t.alias("known"), F.lit(EXACT).alias("form")))
+    full = rows.join(inexact, "row_id", "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<pos:int,known:string,form:int>>")))
+    told = F.concat(at(F.col("w"), None), F.filter("m", lambda x: x["pos"] >= 0))
+    around = F.concat(F.col("told"), at(F.col("p"), -1), F.filter("m", lambda x: x["pos"] < 0), at(F.col("i"), -2))
+    heads = full.withColumn("told", told).withColumn("around", around).select("row_id", F.explode("told").alias("h"), "around")
+    pairs = heads.select("row_id", "h", F.explode(F.filter("around", lambda x: (x["pos"] != F.col("h.pos")) | ((F.col("h.form") == SPLIT) & (x["form"] == SPLIT)))).alias("o")).where("h.known <> o.known")
+    pairs = pairs.select("row_id", _pair_key(F.col("h.known"), F.col("o.known")).alias("key"), F.col("h.pos").alias("pos"), F.col("h.form").alias("form"), F.col("o.pos").alias("where"))
+    found = pairs.join(keys, "key")
+    form = F.when(F.col("stands").bitwiseAND(ALIAS) > 0, ALIAS).otherwise(F.col("form"))
     # what the context stands for depends on where it was found
-    narrated = F.when(F.col("where") == -2, F.col("e").bitwiseAND(INITIAL)).when(F.col("where") >= 0, F.col("e").bitwiseAND(SURNAME | OTHER)).otherwise(F.col("e").bitwiseAND(GUARDIAN | GIVEN | FAMILY | OWN))
-    bits = F.when(narrated > 0, narrated.bitwiseOR(form)).otherwise(0).cast("int")
+    kind = F.when(F.col("where") == -2, INITIAL).when(F.col("where") >= 0, SURNAME | OTHER).otherwise(GUARDIAN | GIVEN | FAMILY | OWN)
+    seen = F.col("stands").bitwiseAND(kind)
+    bits = F.when(seen > 0, seen.bitwiseOR(form)).otherwise(0).cast("int")
     covers = _place("pos").bitwiseOR(F.when(F.col("where") >= 0, _place("where")).otherwise(0))
-    return (
-        found.select("row_id", "student_id", "level", "total", bits.alias("bits"), _place("pos").alias("heads"), covers.alias("covers"), "mask")
+    met = (
+        found.select("row_id", "student_id", "level", "total", bits.alias("bits"), _place("pos").alias("heads"), covers.alias("covers"))
         .where("bits > 0")
         .repartition("row_id")
         .groupBy("row_id", "student_id")
-        .agg(
-            F.bit_or("bits").alias("bits"), F.bit_or("heads").alias("heads"), F.bit_or("covers").alias("covers"), F.first("mask").alias("known"),
-            F.first("level").alias("level"), F.first("total").alias("total"),
-        )
-    )
+        .agg(F.bit_or("bits").alias("bits"), F.bit_or("heads").alias("heads"), F.bit_or("covers").alias("covers"), F.max("level").alias("level"), F.max("total").alias("total"))
+    )
+    return met.join(rows.select("row_id", "amount", "row_level", "collective"), "row_id")
 
 
 def _place(name: str) -> Column:
@@ -227,12 +248,11 @@ def _strength(amount: Column, level: Column) -> Column:
 
 def votes(pairs: DataFrame) -> DataFrame:
     """One row per pair and mention of a child's name, with the outcomes v0..v5 of the six functions.
-    pairs: as from ``candidate_pairs`` with amount, row_level and collective."""
-    row = Window.partitionBy("row_id")
+    pairs: as from ``candidate_pairs``."""
+    row, place = Window.partitionBy("row_id"), Window.partitionBy("row_id", "mention")
     mention = F.explode(F.filter(F.sequence(F.lit(0), F.lit(60)), lambda k: F.getbit("heads", k) > 0))
-    each = pairs.withColumn("row_heads", F.bit_or("heads").over(row)).withColumn("mention", mention)
-    place = Window.partitionBy("row_id", "mention")
-    each = each.withColumn("rivals", F.count("*").over(place) - 1)
+    each = pairs.withColumn("mention", mention).sortWithinPartitions("row_id", "mention")
+    each = each.withColumn("row_heads", F.bit_or("heads").over(row)).withColumn("known", F.bit_or("covers").over(row)).withColumn("rivals", F.count("*").over(place) - 1)
     # what the children that nobody else could be meant by cost together
     sure = F.when(F.col("rivals") == 0, F.col("total"))
     each = each.withColumn("together", F.sum(sure).over(row)).withColumn("mentions", F.bit_count("row_heads"))
@@ -330,7 +350,7 @@ def matches(statements: DataFrame, students: DataFrame, guardians: DataFrame, li
     rows = rows.withColumn("collective", F.coalesce("collective", F.col("payer") == ""))
     rows = rows.withColumn("p", F.when(F.col("collective"), F.array().cast("array<string>")).otherwise(F.col("p")))
     keys, vocabulary = students_with_keys(students, guardians, links, fees)
-    pairs = candidate_pairs(rows, keys, vocabulary).join(rows.select("row_id", "amount", "row_level", "collective"), "row_id")
+    pairs = candidate_pairs(rows, keys, cut(vocabulary))
     voted = cut_table(votes(pairs).select("row_id", "student_id", "mention", "strength", *(f"v{k}" for k in range(6))))
     names_ = [f"v{k}" for k in range(6)]
     table = voted.groupBy(*names_).agg(F.count("*").alias("n")).collect()  # at most PATTERNS rows
