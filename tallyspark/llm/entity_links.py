@@ -3,7 +3,7 @@
 Candidates. Texts become name tokens. Unknown tokens are mapped to the vocabulary of names once per distinct
 token (one edit by shared deletions, run-together pairs of names, shortened names by prefix). A row and a
 student meet if a token of the narration is a name or alias of the student and a second token, of narration
-or payer, is another name of the student or of a guardian (or an initial with a guardian's surname). What was
+or payer, is another name of the student or of a guardian; initials of a guardian's other names are compared too. What was
 matched, and how, is collected per pair as bits.
 
 Confidence. Heuristic functions vote on each pair from these bits and from amount and class: form of the
@@ -42,14 +42,16 @@ COLLECTIVE = 1_000
 COMMON = 20_000
 #: Least confidence of a link.
 CONFIDENT = 0.5
+#: Share of the weak start in every step of the fit. It keeps the latent class the one that the functions vote
+#: on; without it the fit may settle on another strong split of the votes, such as whether a surname is told.
+ANCHOR = 0.5
 #: Outcomes of the six voting functions; their product bounds the patterns collected.
 OUTCOMES = (5, 4, 4, 4, 3, 3)
 PATTERNS = int(np.prod(OUTCOMES))
 #: Bits of evidence of a pair.
 EXACT, FUZZY, SHORT, ALIAS, SURNAME, OTHER, GUARDIAN, GIVEN, FAMILY, OWN, INITIAL, SPLIT = (1 << k for k in range(12))
-_WORDS = T.StructType([T.StructField("w", T.ArrayType(T.StringType())), T.StructField("i", T.ArrayType(T.StringType())), T.StructField("p", T.ArrayType(T.StringType()))])
-
-
+_PERSON = T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("m", T.IntegerType())]))
+_WORDS = T.StructType([T.StructField("w", T.ArrayType(T.StringType())), T.StructField("i", T.IntegerType()), T.StructField("p", _PERSON)])
 _RUN = re.compile(r"[^\W_]+")
 #: Words that tell what a payment is for, which a payer's name does not.
 _PURPOSE = frozenset("fee fees school schl sch tuition pymt payment payments term balance".split())
@@ -59,19 +61,22 @@ def _words(text: str | None) -> list[str]:
     return [names.fold(t) for t in _RUN.findall(names.plain(text))]
 
 
-def _person_tokens(every: list[str]) -> list[str]:
+def _letter(token: str) -> int:
+    """The bit of a token's first letter; one bit serves all letters outside a to z."""
+    return 1 << (ord(token[0]) - 97 if "a" <= token[0] <= "z" else 26)
+
+
+def person_tokens(every: list[str]) -> list[dict]:
+    """The words of a person's name, each with the initials of the others as bits."""
     every = [t for t in every if t not in names.TITLES and t.isalpha()]
-    out = dict.fromkeys(t for t in every if len(t) > 2)
+    out: dict[str, int] = {}
     for k, t in enumerate(every):
-        for m, u in enumerate(every):
-            if k != m and len(u) > 2:
-                out[f"{t[0]}.{u}"] = None
-    return list(out)
+        if len(t) > 2:
+            out[t] = out.get(t, 0) | sum({_letter(u) for m, u in enumerate(every) if m != k})
+    return [{"t": t, "m": m} for t, m in out.items()]
 
 
-def payer_tokens(text: str | None) -> list[str]:
-    """The words of a person's name and, for each, the initials of the others with it ('g.aweguso')."""
-    return _person_tokens(_words(text))
+_ARROW_PERSON = pa.list_(pa.struct([("t", pa.string()), ("m", pa.int32())]))
 
 
 @F.arrow_udf(_WORDS)
@@ -82,10 +87,9 @@ def _row_words(narrations: pa.Array, payers: pa.Array) -> pa.Array:
         if not _PURPOSE.isdisjoint(payer) and _PURPOSE.isdisjoint(told):
             told, payer = payer, told  # the fields are exchanged: the payer reads like a narration
         w.append(list(dict.fromkeys(t for t in told if len(t) > 2 and t.isalpha() and t not in names.TITLES and not names.is_filler(t))))
-        i.append(list(dict.fromkeys(t for t in told if len(t) == 1 and t.isalpha())))
-        p.append(_person_tokens(payer))
-    kind = pa.list_(pa.string())
-    return pa.StructArray.from_arrays([pa.array(w, kind), pa.array(i, kind), pa.array(p, kind)], ["w", "i", "p"])
+        i.append(sum({_letter(t) for t in told if len(t) == 1 and t.isalpha()}))
+        p.append(person_tokens(payer))
+    return pa.StructArray.from_arrays([pa.array(w, pa.list_(pa.string())), pa.array(i, pa.int32()), pa.array(p, _ARROW_PERSON)], ["w", "i", "p"])
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -93,9 +97,9 @@ def _tokens(texts: pa.Array) -> pa.Array:
     return pa.array([list(dict.fromkeys(t for t in names.all_tokens(x) if t.isalpha() and len(t) > 1)) for x in texts.to_pylist()], pa.list_(pa.string()))
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
+@F.arrow_udf(_PERSON)
 def _person(texts: pa.Array) -> pa.Array:
-    return pa.array([payer_tokens(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+    return pa.array([person_tokens(_words(x)) for x in texts.to_pylist()], _ARROW_PERSON)
 
 
 _row_words, _tokens, _person = (f.asNondeterministic() for f in (_row_words, _tokens, _person))  # run once each
@@ -114,6 +118,12 @@ def _pair_key(child: str | Column, context: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(child, context), 16)
 
 
+def _first_letter(name: str) -> Column:
+    """The bit of a token's first letter, as in ``_letter``."""
+    code = F.ascii(name) - 97
+    return F.call_function("shiftleft", F.lit(1), F.when((code >= 0) & (code < 26), code).otherwise(26))
+
+
 def students_with_keys(students: DataFrame, guardians: DataFrame, links: DataFrame, fees: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(keys, vocabulary). keys: one row per student and pair of tokens (child token, context token), hashed,
     with the evidence it stands for, the student's total fees and class. vocabulary: (token, name) with name true for
@@ -131,25 +141,24 @@ def students_with_keys(students: DataFrame, guardians: DataFrame, links: DataFra
     paid = paid.groupBy("student_id").agg(F.sum("m").alias("total"))
     person = guardians.select("guardian_id", _person(F.coalesce("name", F.lit(""))).alias("g"), F.element_at(_tokens(F.coalesce("name", F.lit(""))), -1).alias("family"))
     kin = links.select("student_id", "guardian_id").distinct().join(person, "guardian_id")
-    evidence = F.when(F.col("c").contains("."), GUARDIAN).when(F.col("c") == F.col("family"), FAMILY).otherwise(GIVEN)
-    around = kin.select("student_id", "family", F.explode("g").alias("c")).select("student_id", "c", evidence.alias("e"))
+    around = kin.select("student_id", "family", F.explode("g").alias("x")).select("student_id", F.col("x.t").alias("c"), F.when(F.col("x.t") == F.col("family"), FAMILY).otherwise(GIVEN).alias("e"), F.col("x.m").alias("m"))
     base = cut_table(own.join(paid, "student_id", "left"))
     mine = base.select("student_id", "surname", F.explode("n").alias("c"))
-    mine = mine.select("student_id", "c", F.when(F.col("c") == F.col("surname"), SURNAME | OWN).otherwise(OTHER).alias("e"))
-    initial = base.where("surname is not null").select("student_id", F.substring("surname", 1, 1).alias("c"), F.lit(INITIAL).alias("e"))
-    context = around.unionByName(mine).unionByName(initial).groupBy("student_id", "c").agg(F.bit_or("e").alias("e"))
+    mine = mine.select("student_id", "c", F.when(F.col("c") == F.col("surname"), SURNAME | OWN).otherwise(OTHER).alias("e"), F.lit(0).alias("m"))
+    initial = base.where("surname is not null").select("student_id", F.substring("surname", 1, 1).alias("c"), F.lit(INITIAL).alias("e"), F.lit(0).alias("m"))
+    context = around.unionByName(mine).unionByName(initial).groupBy("student_id", "c").agg(F.bit_or("e").alias("e"), F.bit_or("m").alias("m"))
     given = F.array_except("n", F.array("surname"))
     child = F.concat(
         F.transform(given, lambda t: F.struct(t.alias("t"), F.lit(False).alias("alias"))),
         F.transform(F.array_except("a", "n"), lambda t: F.struct(t.alias("t"), F.lit(True).alias("alias"))),
     )
-    heads = base.where("surname is not null").select("student_id", "level", "total", F.explode(child).alias("x")).select("student_id", "level", "total", "x.t", "x.alias")
+    heads = base.where("surname is not null").select("student_id", "level", "total", _first_letter("surname").alias("own"), F.explode(child).alias("x")).select("student_id", "level", "total", "own", "x.t", "x.alias")
     # what a token pair stands for, in one number: context evidence, and whether the child's name is an alias
     stands = F.col("e").bitwiseOR(F.when(F.col("alias"), ALIAS).otherwise(0))
-    keys = heads.join(context, "student_id").where("t <> c").select(_pair_key("t", "c").alias("key"), "student_id", "level", "total", stands.alias("stands"))
+    keys = heads.join(context, "student_id").where("t <> c").select(_pair_key("t", "c").alias("key"), "student_id", "level", "total", "own", "m", stands.alias("stands"))
     words = base.select(F.explode("n").alias("token"), F.lit(True).alias("name"))
     words = words.unionByName(base.select(F.explode("a").alias("token"), F.lit(False).alias("name")))
-    words = words.unionByName(kin.select(F.explode("g").alias("token"), F.lit(True).alias("name")))
+    words = words.unionByName(kin.select(F.explode("g.t").alias("token"), F.lit(True).alias("name")))
     vocabulary = words.where(F.length("token") > 1).groupBy("token").agg(F.max("name").alias("name"))
     return keys, vocabulary
 
@@ -169,12 +178,11 @@ def _deletions(token: str) -> Column:
 def token_map(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, known, form) of distinct tokens that are no names: form FUZZY for one edit, SPLIT for one of two
     names run together, SHORT for a prefix of the known token."""
-    plain = vocabulary.where(~F.col("token").contains("."))
-    unknown = cut(tokens.join(vocabulary.where("name").select("token"), "token", "left_anti"))
-    whole = unknown.where(~F.col("token").contains("."))
+    plain = vocabulary
+    whole = cut(tokens.join(vocabulary.where("name").select("token"), "token", "left_anti"))
     forms = whole.where("length(token) >= 4").select("token", F.explode(_deletions("token")).alias("d"))
     known = plain.where("length(token) >= 4").select(F.col("token").alias("known"), F.explode(_deletions("token")).alias("d"))
-    near = cut(forms.join(known, "d").select("token", "known").where("token <> known").distinct().where(_one_edit("token", "known")))
+    near = (forms.join(known, "d").select("token", "known").where("token <> known").distinct().where(_one_edit("token", "known")))
     cuts = F.sequence(F.lit(3), F.length("token") - 3)
     parts = whole.where("length(token) >= 8").select("token", F.explode(cuts).alias("k"))
     parts = parts.select("token", F.substring("token", 1, F.col("k")).alias("x"), F.substr(F.col("token"), F.col("k") + 1).alias("y"))
@@ -183,10 +191,7 @@ def token_map(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     parts = parts.select("token", F.explode(F.array("x", "y")).alias("known"))
     lead = plain.where("name").select(F.col("token").alias("known"), F.explode(F.sequence(F.lit(3), F.lit(5))).alias("k")).where("k < length(known)")
     short = whole.where("length(token) between 3 and 5").join(lead.select("known", F.substring("known", 1, F.col("k")).alias("token")), "token")
-    # an initial with a damaged surname ('g.awegso')
-    damaged = unknown.where(F.col("token").contains(".")).select("token", F.substring("token", 1, 2).alias("i"), F.substr(F.col("token"), F.lit(3)).alias("r"))
-    mended = damaged.join(near.select(F.col("token").alias("r"), "known"), "r").select("token", F.concat("i", "known").alias("known"))
-    every = near.withColumn("form", F.lit(FUZZY)).unionByName(mended.withColumn("form", F.lit(FUZZY)))
+    every = near.withColumn("form", F.lit(FUZZY))
     every = every.unionByName(parts.withColumn("form", F.lit(SPLIT))).unionByName(short.select("token", "known").withColumn("form", F.lit(SHORT)))
     return every.groupBy("token", "known").agg(F.min("form").alias("form"))
 
@@ -195,37 +200,48 @@ def candidate_pairs(rows: DataFrame, keys: DataFrame, vocabulary: DataFrame) ->
     """(row_id, student_id, bits, heads, covers, level, total, amount, row_level, collective): every pair
     of a row and a student that meet. As bits of token positions: heads, the names of the child; covers, all
     names of the student. rows: (row_id, w, i, p, amount, row_level, collective)."""
-    frequent = rows.select(F.explode(F.concat("w", "p")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    frequent = rows.select(F.explode(F.concat("w", "p.t")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     frequent = cut(frequent)
     # the commonest names need no mapping and are kept out of its joins; at most COMMON of them
     common = frequent.join(vocabulary.where("name").select("token"), "token", "left_semi").orderBy(F.desc("n"), "token").limit(COMMON).select("token")
     mapping = cut(token_map(frequent.select("token").join(F.broadcast(common), "token", "left_anti"), vocabulary))
-    spread = rows.select("row_id", F.posexplode("w").alias("pos", "token")).unionByName(rows.select("row_id", F.lit(-1).alias("pos"), F.explode("p").alias("token")))
+    told = rows.select("row_id", F.posexplode("w").alias("pos", "token")).withColumn("mask", F.lit(0))
+    paid = rows.select("row_id", F.explode("p").alias("x")).select("row_id", F.lit(-1).alias("pos"), F.col("x.t").alias("token"), F.col("x.m").alias("mask"))
+    spread = told.unionByName(paid)
     spread = spread.join(F.broadcast(common), "token", "left_anti")
-    inexact = spread.join(mapping, "token").groupBy("row_id").agg(F.collect_set(F.struct("pos", "known", "form")).alias("m"))
+    inexact = spread.join(mapping, "token").groupBy("row_id").agg(F.collect_set(F.struct("pos", "known", "form", "mask")).alias("m"))
     # exact tokens stand for themselves; whether they are names shows when they meet a student's
-    at = lambda names_, pos: F.transform(names_, lambda t, k: F.struct((k if pos is None else F.lit(pos)).cast("int").alias("pos"), t.alias("known"), F.lit(EXACT).alias("form")))
-    full = rows.join(inexact, "row_id", "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<pos:int,known:string,form:int>>")))
-    told = F.concat(at(F.col("w"), None), F.filter("m", lambda x: x["pos"] >= 0))
-    around = F.concat(F.col("told"), at(F.col("p"), -1), F.filter("m", lambda x: x["pos"] < 0), at(F.col("i"), -2))
+    entry = lambda pos, known, mask: F.struct(pos.cast("int").alias("pos"), known.alias("known"), F.lit(EXACT).alias("form"), mask.cast("int").alias("mask"))
+    full = rows.join(inexact, "row_id", "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<pos:int,known:string,form:int,mask:int>>")))
+    told = F.concat(F.transform("w", lambda t, k: entry(k, t, F.lit(0))), F.filter("m", lambda x: x["pos"] >= 0))
+    payer = F.concat(F.transform("p", lambda x: entry(F.lit(-1), x["t"], x["m"])), F.filter("m", lambda x: x["pos"] < 0))
+    # an initial alone is a context only where no payer gives one
+    letters = F.filter(F.sequence(F.lit(0), F.lit(25)), lambda k: F.getbit("i", k) > 0)
+    single = F.when(F.size("p") == 0, F.transform(letters, lambda k: entry(F.lit(-2), F.char(k + 97), F.lit(0)))).otherwise(F.array().cast("array<struct<pos:int,known:string,form:int,mask:int>>"))
+    around = F.concat(F.col("told"), payer, single)
     heads = full.withColumn("told", told).withColumn("around", around).select("row_id", F.explode("told").alias("h"), "around")
     pairs = heads.select("row_id", "h", F.explode(F.filter("around", lambda x: (x["pos"] != F.col("h.pos")) | ((F.col("h.form") == SPLIT) & (x["form"] == SPLIT)))).alias("o")).where("h.known <> o.known")
-    pairs = pairs.select("row_id", _pair_key(F.col("h.known"), F.col("o.known")).alias("key"), F.col("h.pos").alias("pos"), F.col("h.form").alias("form"), F.col("o.pos").alias("where"))
+    pairs = pairs.select("row_id", _pair_key(F.col("h.known"), F.col("o.known")).alias("key"), F.col("h.pos").alias("pos"), F.col("h.form").alias("form"), F.col("o.pos").alias("where"), F.col("o.mask").alias("mask"))
     found = pairs.join(keys, "key")
     form = F.when(F.col("stands").bitwiseAND(ALIAS) > 0, ALIAS).otherwise(F.col("form"))
     # what the context stands for depends on where it was found
-    kind = F.when(F.col("where") == -2, INITIAL).when(F.col("where") >= 0, SURNAME | OTHER).otherwise(GUARDIAN | GIVEN | FAMILY | OWN)
+    kind = F.when(F.col("where") == -2, INITIAL).when(F.col("where") >= 0, SURNAME | OTHER).otherwise(GIVEN | FAMILY | OWN)
     seen = F.col("stands").bitwiseAND(kind)
+    # a guardian's word with the initial of another of the guardian's words
+    both = (F.col("where") == -1) & (F.col("mask").bitwiseAND(F.col("m")) > 0)
+    seen = seen.bitwiseOR(F.when(both, GUARDIAN).otherwise(0))
     bits = F.when(seen > 0, seen.bitwiseOR(form)).otherwise(0).cast("int")
     covers = _place("pos").bitwiseOR(F.when(F.col("where") >= 0, _place("where")).otherwise(0))
     met = (
-        found.select("row_id", "student_id", "level", "total", bits.alias("bits"), _place("pos").alias("heads"), covers.alias("covers"))
+        found.select("row_id", "student_id", "level", "total", "own", bits.alias("bits"), _place("pos").alias("heads"), covers.alias("covers"))
         .where("bits > 0")
         .repartition("row_id")
         .groupBy("row_id", "student_id")
-        .agg(F.bit_or("bits").alias("bits"), F.bit_or("heads").alias("heads"), F.bit_or("covers").alias("covers"), F.max("level").alias("level"), F.max("total").alias("total"))
+        .agg(F.bit_or("bits").alias("bits"), F.bit_or("heads").alias("heads"), F.bit_or("covers").alias("covers"), F.max("level").alias("level"), F.max("total").alias("total"), F.max("own").alias("own"))
     )
-    return met.join(rows.select("row_id", "amount", "row_level", "collective"), "row_id")
+    full = met.join(rows.select("row_id", "amount", "row_level", "collective", "i"), "row_id")
+    initial = F.when(F.col("i").bitwiseAND(F.col("own")) > 0, INITIAL).otherwise(0)
+    return full.withColumn("bits", F.col("bits").bitwiseOR(initial))
 
 
 def _place(name: str) -> Column:
@@ -268,7 +284,7 @@ def votes(pairs: DataFrame) -> DataFrame:
         .when((F.col("mentions") > 1) & (F.col("amount") > F.col("total")), 3)
         .otherwise(2)
     )
-    level = F.when(F.col("level").isNull() | F.col("row_level").isNull(), 2).when(F.col("level") == F.col("row_level"), 0).otherwise(1)
+    level = F.when(F.col("level").isNull() | F.col("row_level").isNull(), 2).when(F.col("level") == F.col("row_level"), 0).when(F.col("mentions") > 1, 2).otherwise(1)
     each = each.withColumn("v3", amount).withColumn("v4", level)
     each = each.withColumn("strength", _strength(F.col("v3"), F.col("v4")))
     top = F.max("strength").over(place)
@@ -303,11 +319,12 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, steps: int = 200)
         sizes = [int(np.prod([OUTCOMES[j] for j in f])) for f in factors]
         codes = [np.ravel_multi_index([patterns[:, j] for j in f], [OUTCOMES[j] for j in f]) for f in factors]
         for _ in range(steps):
-            prior = np.clip((counts * truth).sum() / counts.sum(), 1e-4, 1 - 1e-4)
+            held = ANCHOR * start + (1 - ANCHOR) * truth
+            prior = np.clip((counts * held).sum() / counts.sum(), 1e-4, 1 - 1e-4)
             odds = np.full(n, np.log(prior / (1 - prior)))
             for size, code in zip(sizes, codes):
-                yes = np.bincount(code, counts * truth, size) + 1.0
-                no = np.bincount(code, counts * (1 - truth), size) + 1.0
+                yes = np.bincount(code, counts * held, size) + 1.0
+                no = np.bincount(code, counts * (1 - held), size) + 1.0
                 odds += np.log(yes / yes.sum())[code] - np.log(no / no.sum())[code]
             new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
             if np.abs(new - truth).max() < 1e-6:
@@ -348,7 +365,7 @@ def matches(statements: DataFrame, students: DataFrame, guardians: DataFrame, li
     crowd = counted.where(F.col("n") >= least).select("payer", F.lit(True).alias("collective"))  # at most COLLECTIVE
     rows = words.where(F.size("w") > 0).join(F.broadcast(crowd), "payer", "left")
     rows = rows.withColumn("collective", F.coalesce("collective", F.col("payer") == ""))
-    rows = rows.withColumn("p", F.when(F.col("collective"), F.array().cast("array<string>")).otherwise(F.col("p")))
+    rows = rows.withColumn("p", F.when(F.col("collective"), F.array().cast("array<struct<t:string,m:int>>")).otherwise(F.col("p")))
     keys, vocabulary = students_with_keys(students, guardians, links, fees)
     pairs = candidate_pairs(rows, keys, cut(vocabulary))
     voted = cut_table(votes(pairs).select("row_id", "student_id", "mention", "strength", *(f"v{k}" for k in range(6))))
