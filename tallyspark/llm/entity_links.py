@@ -38,6 +38,8 @@ from tallyspark.session import cut, cut_table
 
 #: A payer with at least 1/COLLECTIVE of all rows is no person (so there are at most COLLECTIVE of them).
 COLLECTIVE = 1_000
+#: Families pay less often than this.
+LEAST_COLLECTIVE = 50
 #: So many of the commonest names are broadcast, whatever the size of the vocabulary.
 COMMON = 20_000
 #: Least confidence of a link.
@@ -203,7 +205,7 @@ def candidate_pairs(rows: DataFrame, keys: DataFrame, vocabulary: DataFrame) ->
     frequent = rows.select(F.explode(F.concat("w", "p.t")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     frequent = cut(frequent)
     # the commonest names need no mapping and are kept out of its joins; at most COMMON of them
-    common = frequent.join(vocabulary.where("name").select("token"), "token", "left_semi").orderBy(F.desc("n"), "token").limit(COMMON).select("token")
+    common = cut(frequent.join(vocabulary.where("name").select("token"), "token", "left_semi").orderBy(F.desc("n"), "token").limit(COMMON).select("token"))
     mapping = cut(token_map(frequent.select("token").join(F.broadcast(common), "token", "left_anti"), vocabulary))
     told = rows.select("row_id", F.posexplode("w").alias("pos", "token")).withColumn("mask", F.lit(0))
     paid = rows.select("row_id", F.explode("p").alias("x")).select("row_id", F.lit(-1).alias("pos"), F.col("x.t").alias("token"), F.col("x.m").alias("mask"))
@@ -268,10 +270,11 @@ def votes(pairs: DataFrame) -> DataFrame:
     row, place = Window.partitionBy("row_id"), Window.partitionBy("row_id", "mention")
     mention = F.explode(F.filter(F.sequence(F.lit(0), F.lit(60)), lambda k: F.getbit("heads", k) > 0))
     each = pairs.withColumn("mention", mention).sortWithinPartitions("row_id", "mention")
-    each = each.withColumn("row_heads", F.bit_or("heads").over(row)).withColumn("known", F.bit_or("covers").over(row)).withColumn("rivals", F.count("*").over(place) - 1)
+    each = each.withColumn("rivals", F.count("*").over(place) - 1)
     # what the children that nobody else could be meant by cost together
     sure = F.when(F.col("rivals") == 0, F.col("total"))
-    each = each.withColumn("together", F.sum(sure).over(row)).withColumn("mentions", F.bit_count("row_heads"))
+    each = each.withColumns({"row_heads": F.bit_or("heads").over(row), "known": F.bit_or("covers").over(row), "together": F.sum(sure).over(row)})
+    each = each.withColumn("mentions", F.bit_count("row_heads"))
     form = F.when(_has(EXACT), 0).when(_has(ALIAS), 1).when(_has(FUZZY) | _has(SPLIT), 2).when(_has(SHORT), 3).otherwise(4)
     lost = F.bit_count(F.col("known").bitwiseAND(F.bitwise_not(F.col("covers").bitwiseOR(F.col("row_heads")))))
     surname = F.when(_has(SURNAME), 0).when(_has(INITIAL), 1).when(lost == 0, 2).otherwise(3)
@@ -287,9 +290,9 @@ def votes(pairs: DataFrame) -> DataFrame:
     level = F.when(F.col("level").isNull() | F.col("row_level").isNull(), 2).when(F.col("level") == F.col("row_level"), 0).when(F.col("mentions") > 1, 2).otherwise(1)
     each = each.withColumn("v3", amount).withColumn("v4", level)
     each = each.withColumn("strength", _strength(F.col("v3"), F.col("v4")))
-    top = F.max("strength").over(place)
-    tops = F.count_if(F.col("strength") == F.col("top")).over(place)
-    each = each.withColumn("top", top).withColumn("tops", tops)
+    best = F.max("strength").over(place)
+    each = each.withColumn("top", best)
+    each = each.withColumn("tops", F.count_if(F.col("strength") == F.col("top")).over(place))
     first = F.when(F.col("strength") < F.col("top"), 2).when(F.col("tops") > 1, 1).otherwise(0)
     return each.withColumns({"v0": form, "v1": surname, "v2": payer, "v5": first})
 
@@ -361,8 +364,8 @@ def matches(statements: DataFrame, students: DataFrame, guardians: DataFrame, li
     ).select("row_id", "payer", "amount", "row_level", F.col("x.w").alias("w"), F.col("x.i").alias("i"), F.col("x.p").alias("p"))
     words = cut_table(words)
     counted = words.groupBy("payer").agg(F.count("*").alias("n"))
-    least = max(2, -(-words.count() // COLLECTIVE))
-    crowd = counted.where(F.col("n") >= least).select("payer", F.lit(True).alias("collective"))  # at most COLLECTIVE
+    least = max(LEAST_COLLECTIVE, -(-words.count() // COLLECTIVE))
+    crowd = cut(counted.where(F.col("n") >= least).select("payer", F.lit(True).alias("collective")))  # at most COLLECTIVE
     rows = words.where(F.size("w") > 0).join(F.broadcast(crowd), "payer", "left")
     rows = rows.withColumn("collective", F.coalesce("collective", F.col("payer") == ""))
     rows = rows.withColumn("p", F.when(F.col("collective"), F.array().cast("array<struct<t:string,m:int>>")).otherwise(F.col("p")))
