@@ -181,7 +181,7 @@ def token_map(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, known, form) of distinct tokens that are no names: form FUZZY for one edit, SPLIT for one of two
     names run together, SHORT for a prefix of the known token."""
     plain = vocabulary
-    whole = cut(tokens.join(vocabulary.where("name").select("token"), "token", "left_anti"))
+    whole = cut_table(tokens.join(vocabulary.where("name").select("token"), "token", "left_anti"))
     forms = whole.where("length(token) >= 4").select("token", F.explode(_deletions("token")).alias("d"))
     known = plain.where("length(token) >= 4").select(F.col("token").alias("known"), F.explode(_deletions("token")).alias("d"))
     near = (forms.join(known, "d").select("token", "known").where("token <> known").distinct().where(_one_edit("token", "known")))
@@ -203,10 +203,10 @@ def candidate_pairs(rows: DataFrame, keys: DataFrame, vocabulary: DataFrame) ->
     of a row and a student that meet. As bits of token positions: heads, the names of the child; covers, all
     names of the student. rows: (row_id, w, i, p, amount, row_level, collective)."""
     frequent = rows.select(F.explode(F.concat("w", "p.t")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    frequent = cut(frequent)
+    frequent = cut_table(frequent)
     # the commonest names need no mapping and are kept out of its joins; at most COMMON of them
     common = cut(frequent.join(vocabulary.where("name").select("token"), "token", "left_semi").orderBy(F.desc("n"), "token").limit(COMMON).select("token"))
-    mapping = cut(token_map(frequent.select("token").join(F.broadcast(common), "token", "left_anti"), vocabulary))
+    mapping = cut_table(token_map(frequent.select("token").join(F.broadcast(common), "token", "left_anti"), vocabulary))
     told = rows.select("row_id", F.posexplode("w").alias("pos", "token")).withColumn("mask", F.lit(0))
     paid = rows.select("row_id", F.explode("p").alias("x")).select("row_id", F.lit(-1).alias("pos"), F.col("x.t").alias("token"), F.col("x.m").alias("mask"))
     spread = told.unionByName(paid)
