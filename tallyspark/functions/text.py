@@ -59,7 +59,7 @@ def token_estimate(text: Column) -> Column:
 
 def choice_letter(text: Column) -> Column:
     """The first letter A to D that stands alone in the text in capitals; '' if there is none."""
-    return F.regexp_extract(F.upper(text), r"(?<![\p{L}\p{N}_])([ABCD])(?![\p{L}\p{N}_])", 1)
+    return F.regexp_extract(F.upper(text), r"(?:^|[^\p{L}\p{N}_])([ABCD])(?:$|[^\p{L}\p{N}_])", 1)
 
 
 def contains_all(text: Column, part: Column) -> Column:
