@@ -139,4 +139,17 @@ QUERIES = {
     "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
-ORACLE: dict[str, str] = {}
+_FORMS = r"""with n as (select row_id, coalesce(date, '') as d, coalesce(amount, '') as a, lower(regexp_replace(coalesce(direction, ''), '[\s\p{Z}]+', '', 'g')) as k,
+  lower(regexp_replace(coalesce(reference, ''), '[^\p{L}\p{N}]+', '', 'g')) as r,
+  list_sort(list_filter(regexp_split_to_array(lower(coalesce(payer, '') || ' ' || coalesce(narration, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')) as w from bank_statement),
+g as (select row_id, min(row_id) over (partition by d, a, k, r, w) as first, count(*) over (partition by d, a, k, r, w) as copies from n) """
+ORACLE: dict[str, str] = {
+    "p2_found": _FORMS + "select first as row_id_a, row_id as row_id_b from g where row_id <> first",
+    "p2_records": _FORMS + "select row_id, copies from g where row_id = first",
+    "p6_found": r"""with recursive s as (select case_no, unnest(setup.students) as x from gold_cases), i as (select case_no, unnest(x.guardians) as g from s),
+    m as (select distinct case_no, 'g:' || upper(trim(g)) as k from i where trim(g) <> ''
+      union select distinct case_no, 'c:' || upper(regexp_replace(unnest(regexp_extract_all(txn.narration, '(?:^|[^\p{L}\p{N}])([A-Za-z]{3}[\s\p{Z}./_-]?[0-9]{4})(?:$|[^\p{L}\p{N}])', 1)), '[^A-Za-z0-9]', '', 'g')) from gold_cases where txn.narration is not null),
+    e as (select distinct a.case_no as u, b.case_no as v from m a join m b on a.k = b.k and a.case_no <> b.case_no),
+    t as (select u as a, v as b from e union select t.a, e.v from t join e on t.b = e.u)
+    select min(b) as case_no_a, a as case_no_b from t group by a having min(b) < a""",
+}

@@ -1,4 +1,5 @@
 import pytest
+from oracle import connect, same
 
 from tallyspark.llm import queries
 
@@ -11,3 +12,8 @@ def test_query_runs(spark, folder, name):
     assert rows and len(keys) == len(set(keys))
     if name.endswith("_found"):
         assert len({tuple(r) for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_its_sql(spark, folder, name):
+    same(queries.QUERIES[name](spark, folder), connect(folder), queries.ORACLE[name])
