@@ -48,7 +48,7 @@ def alias_list(text: Column) -> Column:
 
 def squeezed(text: Column) -> Column:
     """Lower case with single blanks between words."""
-    return F.trim(F.regexp_replace(F.lower(text), "[ \\t\\r\\n]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[\s\x0b\x1c-\x1f\x85\p{Z}]+", " "))
 
 
 def token_estimate(text: Column) -> Column:

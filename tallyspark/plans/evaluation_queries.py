@@ -195,7 +195,7 @@ ORACLE = {
     "case_signatures": _SIG + "select case_no, md5(signature) as signature from sig",
     "signature_groups": _SIG + "select min(case_no) as first, count(*) as cases from sig group by signature having count(*) > 1",
     "leakage": "select guardian_family as family, count(distinct split) as splits from gold_cases where guardian_family is not null group by 1 having count(distinct split) > 1",
-    "seeded_order": r"""with d as (select doc_id, sha256('general-1:' || cast(doc_id as varchar)) as h, row_number() over (partition by sha256(trim(regexp_replace(lower(coalesce(text, '')), '[ \t\r\n]+', ' ', 'g'))) order by sha256('general-1:' || cast(doc_id as varchar))) as n from documents)
+    "seeded_order": r"""with d as (select doc_id, sha256('general-1:' || cast(doc_id as varchar)) as h, row_number() over (partition by sha256(trim(regexp_replace(lower(coalesce(text, '')), '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g'))) order by sha256('general-1:' || cast(doc_id as varchar))) as n from documents)
     select doc_id, substr(h, 1, 12) as h from d where n = 1""",
     "seeded_top_per_source": "with r as (select doc_id, source, cast(row_number() over (partition by source order by sha256('proxy-1:' || cast(doc_id as varchar))) as int) as rank from documents where source is not null) select * from r where rank <= 50",
     "prompt_budget": r"""with t as (select doc_id, coalesce(text, '') as t from documents), v as (select doc_id, t, t || ' ' || t as a, array_to_string(list_slice(string_split(t, '.'), 1, 3), '.') as c from t),

@@ -147,8 +147,8 @@ ORACLE = {
     "alias_lists": "select student_id, array_to_string(list_filter(list_transform(string_split(coalesce(aliases, ''), ';'), lambda a: trim(a)), lambda a: a <> ''), '|') as aliases from students",
     "text_measures": r"""with t as (select doc_id, coalesce(text, '') as t from documents)
     select doc_id, cast(ceil(length(t) / 3.0) as bigint) + length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) + 8 as estimate, regexp_extract(upper(t), '(?:^|[^\p{L}\p{N}_])([ABCD])(?:$|[^\p{L}\p{N}_])', 1) as choice,
-    contains(lower(t), '<think') or contains(lower(t), '</think>') or contains(lower(t), 'receipt') as marked, md5(trim(regexp_replace(lower(t), '[ \t\r\n]+', ' ', 'g'))) as digest,
-    contains(trim(regexp_replace(lower(t), '[ \t\r\n]+', ' ', 'g')), 'the bank') as bank from t""",
+    contains(lower(t), '<think') or contains(lower(t), '</think>') or contains(lower(t), 'receipt') as marked, md5(trim(regexp_replace(lower(t), '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g'))) as digest,
+    contains(trim(regexp_replace(lower(t), '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g')), 'the bank') as bank from t""",
     "stable_seeds": "select student_id, cast(cast('0x' || substr(sha256(student_id), 1, 16) as ubigint) as varchar) as seed, substr(sha256('s1:' || student_id), 1, 16) as hash from students",
     "statement_import_outcomes": _OUTCOMES + "select * from outcomes",
     "import_batch_summary": _OUTCOMES
