@@ -25,8 +25,9 @@ from pyspark.sql.window import Window
 
 from tallyspark.session import cut
 
-#: Hash ranges per source and pass; the table of their sums has at most RANGES x sources rows.
+#: Most hash ranges per source, and most rows of the table of their sums, which the driver adds up.
 RANGES = 1_024
+MAX_SUMS = 200_000
 #: More sources than this are refused: the list of targets is configuration.
 MAX_SOURCES = 10_000
 SEED = "mix-1"
@@ -48,14 +49,15 @@ def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None) -> Da
     wanted = _targets(targets)
     schema = "source string, weight double, cap int"
     shares = spark.createDataFrame(wanted, schema)
-    spread = F.col("_h").bitwiseAND(F.lit(RANGES - 1))
+    ranges = 1 << (min(RANGES, MAX_SUMS // max(1, len(wanted))).bit_length() - 1)
+    spread = F.col("_h").bitwiseAND(F.lit(ranges - 1))
     docs = cut(
         sized.where("n_tokens > 0")
         .join(F.broadcast(shares.select("source")), "source")
         .withColumn("_h", F.xxhash64("doc_id", F.lit(SEED)))
         .select("doc_id", "source", "n_tokens", "_h", spread.alias("_range"))
     )
-    # at most RANGES rows per source: bounded by the configuration, not by the data
+    # at most MAX_SUMS rows, whatever the data
     sums = docs.groupBy("source", "_range").agg(F.sum("n_tokens").alias("n")).collect()
     supply: dict[str, int] = {}
     for r in sums:
