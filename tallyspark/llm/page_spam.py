@@ -3,9 +3,10 @@
 Method: recurrence analysis. A text becomes a sequence of terms; for every content term the gap to its last
 occurrence is taken, and the positional autocorrelation over lags up to ``LAGS`` tells how often a position
 repeats the one k places before. Running prose repeats content terms rarely at short lags, keyword lists
-nearly always, and far more regularly. Texts without function words are lists; a list whose few terms recur,
-or that consists of links or hash tags, is spam, while registers, schedules and extracts name many different
-things. Texts with function words are spam only if content terms recur within the same sentence throughout,
+nearly always, and far more regularly: at any lag, the gaps of each term are alike. Texts without function words
+are lists; a list whose few terms recur, or that consists of links or hash tags, is spam, while registers,
+schedules and extracts name many different things. Lines that recur are repetition and count each time; only
+true sentences that recur count once. Texts with function words are spam only if content terms recur within the same sentence throughout,
 so that repeated passages (questions and answers, quoted lines, forwarded letters) are none.
 
 Everything is counted over the whole text. Defined results: null, empty and blank texts, and texts of fewer
@@ -38,6 +39,14 @@ LIST_FUNCTION_SHARE = 0.25
 LIST_DISTINCT = 0.63
 LIST_RECURRENCE = 0.02
 LIST_INSIDE = 0.15
+#: Repetition at any lag: share of content terms that repeat an earlier one, of those that occur three times or more,
+#: and the largest mean spread of such a term's gaps in relation to their mean (random gaps: 1).
+LIST_CYCLIC = 0.5
+REGULAR = 0.5
+#: So few distinct terms are repetition without any rule too.
+LIST_WORN = 0.25
+#: Share of a list's lines that are entries of registers, schedules and extracts.
+RECORDS = 0.5
 #: Links per term of a link list, and hash tags per term of a tag list.
 LINK_SHARE = 0.12
 TAG_SHARE = 0.30
@@ -73,6 +82,10 @@ class Unit:
     links: int = 0
     tags: int = 0
     ended: bool = False  # by a full stop, an exclamation or a question mark
+    capitals: int = 0  # words that begin with a capital letter
+    numbered: bool = False  # begins with a number: an entry's number, a date or a time
+    priced: bool = False  # ends with a number
+    entry: tuple[str, ...] = ()  # its words and numbers, but for leading numbers
 
     def sentence(self) -> bool:
         words = len(self.terms) - self.links
@@ -80,23 +93,32 @@ class Unit:
         return self.ended and words >= SENTENCE_WORDS and function >= SENTENCE_FUNCTION_SHARE * words and function >= 3 * self.links and self.tags < words / 2
 
 
+    def record(self) -> bool:
+        """Whether it is written like an entry of a register, a schedule or an extract."""
+        words = len(self.terms)
+        return not self.links and not self.tags and (self.numbered or self.priced or (2 <= words <= 4 and self.capitals == words))
+
+
 def units(text: str) -> list[Unit]:
-    """The units of a text in order, equal ones once: repeated passages are no repeated keywords. A link is
-    the term '\\0'."""
+    """The units of a text in order, equal sentences once: repeated passages are no repeated keywords, while
+    lines outside sentences count as often as they stand there. A link is the term '\\0'."""
     text = unicodedata.normalize("NFC", text.translate(_DROPPED))
     lengths = [len(m.group()) for m in _LINK.finditer(text)][::-1]
     text = _LINK.sub("\x00", text)
     text = _MARKUP.sub(lambda m: " \x00 " if "\x00" in m.group() else " ", text)
-    out, unit, seen = [], Unit(), set()
+    out, unit, seen, entry = [], Unit(), set(), []
 
     def close(ended: bool) -> None:
         nonlocal unit
         unit.ended = ended
+        unit.entry = tuple(entry)
         key = tuple(unit.terms)
-        if unit.terms and not (len(key) >= SENTENCE_WORDS and not unit.links and key in seen):
+        if unit.terms and not (not unit.links and unit.sentence() and key in seen):
             seen.add(key)
             out.append(unit)
-        unit = Unit()
+        # the number of an entry is followed by a full stop
+        unit = Unit(numbered=ended and unit.numbered and not unit.terms)
+        entry.clear()
 
     for t in _TOKEN.findall(text):
         if t == "\x00":
@@ -112,33 +134,59 @@ def units(text: str) -> list[Unit]:
             if t[0] == "#":
                 unit.tags += 1
                 t = t[1:]
+            unit.capitals += t[:1].isupper()
             t = t.lower().replace("’", "'")
             if any(c.isdigit() for c in t):
                 if not any(c.isalpha() for c in t):
+                    unit.priced = bool(unit.terms)
+                    unit.numbered |= not unit.terms
+                    if unit.terms:
+                        entry.append(t)
                     continue
                 t = t.translate(_LETTERS)
             unit.terms.append(t)
+            unit.priced = False
+            entry.append(t)
     close(False)
     return out
 
 
-def _recurrence(of: list[Unit]) -> tuple[float, float, float, float]:
+def _recurrence(of: list[Unit]) -> tuple[float, float, float, float, float]:
     """Autocorrelation of content terms over the lag window, the same within units, share of distinct content
-    terms, and relative spread of the recurrence gaps."""
+    terms; and over all lags the share of content terms that recur twice or more, and the mean relative spread
+    of such a term's gaps."""
     last: dict[str, tuple[int, int]] = {}
-    inside, gaps, m, k = 0, [], 0, 0
+    gaps: dict[str, list[int]] = {}
+    inside, near, m, k = 0, 0, 0, 0
     for s, unit in enumerate(of):
         for t in unit.terms:
             k += 1
             if t == "\0" or t in _FUNCTION or len(t) < 3:
                 continue
             m += 1
-            if t in last and k - last[t][0] <= LAGS:
-                gaps.append(k - last[t][0])
-                inside += last[t][1] == s
+            if t in last:
+                gap = k - last[t][0]
+                gaps.setdefault(t, []).append(gap)
+                if gap <= LAGS:
+                    near += 1
+                    inside += last[t][1] == s
             last[t] = (k, s)
     m = max(1, m)
-    return len(gaps) / m, inside / m, len(last) / m, float(np.std(gaps) / np.mean(gaps)) if gaps else 0.0
+    often = [np.array(g, float) for g in gaps.values() if len(g) > 1]
+    cyclic = sum(map(len, often))
+    spread = sum(len(g) * float(g.std() / g.mean()) for g in often) / max(1, cyclic)
+    return near / m, inside / m, len(last) / m, cyclic / m, spread
+
+
+def _once(of: list[Unit]) -> list[Unit]:
+    """Equal units of several words once."""
+    seen, out = set(), []
+    for unit in of:
+        key = tuple(unit.terms)
+        if not (len(key) >= SENTENCE_WORDS and not unit.links and key in seen):
+            seen.add(key)
+            out.append(unit)
+    return out
 
 
 def measures(text: str | None) -> dict[str, float]:
@@ -146,7 +194,7 @@ def measures(text: str | None) -> dict[str, float]:
     every = units(text or "")
     listed = [u for u in every if not u.sentence()]
     terms = sum(len(u.terms) for u in listed)
-    recurrence, inside, distinct, spread = _recurrence(listed)
+    recurrence, inside, distinct, cyclic, spread = _recurrence(listed)
     return {
         "terms": sum(len(u.terms) for u in every),
         "list_terms": terms,
@@ -158,8 +206,10 @@ def measures(text: str | None) -> dict[str, float]:
         "list_recurrence": recurrence,
         "list_inside": inside,
         "list_distinct": distinct,
+        "list_cyclic": cyclic,
         "gap_spread": spread,
-        "inside": _recurrence(every)[1],
+        "records": len({u.entry for u in listed if u.record()}) / max(1, len(listed)),
+        "inside": _recurrence(_once(every))[1],
     }
 
 
@@ -172,6 +222,9 @@ def is_spam(x: dict[str, float]) -> bool:
                 return True
             if x["list_distinct"] <= LIST_DISTINCT and x["list_recurrence"] >= LIST_RECURRENCE:
                 return True
+            repeated = x["gap_spread"] <= REGULAR or x["list_distinct"] <= LIST_WORN
+            if x["list_cyclic"] >= LIST_CYCLIC and repeated and x["records"] < RECORDS:
+                return True
     return x["terms"] >= LEAST_TERMS and x["inside"] >= SENTENCE_RECURRENCE
 
 

@@ -122,3 +122,24 @@ def test_spam(text, spam):
 def test_spam_table(spark):
     df = spark.createDataFrame([(1, "lamp bag lamp bag lamp bag lamp bag lamp bag", True), (2, None, True), (3, PROSE, True), (4, "lamp " * 100_000, True)], "doc_id bigint, text string, _spam boolean")
     assert sorted(r.doc_id for r in page_spam.spam_pages(df).collect()) == [1, 4] and page_spam.spam_pages(df.limit(0)).count() == 0
+
+
+KEYWORDS = "lamp bag shoe cardigan beret sandal pinafore uniform bottle pencil ruler eraser crayon satchel jersey blazer socks tie whistle globe".split()
+
+
+@pytest.mark.parametrize(
+    "text, spam",
+    [
+        ("buy cheap school uniforms\n" * 50, True),
+        ((" ".join(KEYWORDS[:10]) + "\n") * 50, True),
+        (" ".join(KEYWORDS * 6), True),
+        ((" ".join(KEYWORDS) + "\n") * 40, True),
+        (" ".join(f"{k}{x}" for _ in range(5) for x in KEYWORDS for k in ("best", "cheap", "new")), True),
+        (" ".join(f"word{x}" for x in np.random.default_rng(1).permutation(np.repeat(np.arange(2_000), 8))), True),
+        (PROSE + "Kind regards\n" + "The desk is open to you on every day of the week.\n" * 50, False),
+        ("\n".join(f"{x.title()} {n * 1000 + 10 * k}" for n in range(1, 7) for k, x in enumerate(KEYWORDS)), False),
+        (("\n".join(f"{k}. {a} {b}" for k, (a, b) in enumerate(zip("Ada Chidi Zainab Tunde Emeka Bisi Ngozi Musa".split(), "Bello Nwosu Danladi Ojo Eze Alabi Okafor Sani".split()))) + "\n") * 2, False),
+    ],
+)
+def test_spam_repeats_at_any_distance(text, spam):
+    assert page_spam.is_spam(page_spam.measures(text)) is spam
