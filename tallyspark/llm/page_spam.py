@@ -5,7 +5,8 @@ occurrence is taken, and the positional autocorrelation over lags up to ``LAGS``
 repeats the one k places before. Running prose repeats content terms rarely at short lags, keyword lists
 nearly always, and far more regularly: at any lag, the gaps of each term are alike. Texts without function words
 are lists; a list whose few terms recur, or that consists of links or hash tags, is spam, while registers,
-schedules and extracts name many different things. Lines that recur are repetition and count each time; only
+schedules and extracts name many different things. Lists of many distinct nouns are spam if they offer goods for amounts or run on in small letters without
+function words, and if their lines are no entries: numbered, dated, ended by an amount, or a person's name. Lines that recur are repetition and count each time; only
 true sentences that recur count once. Texts with function words are spam only if content terms recur within the same sentence throughout,
 so that repeated passages (questions and answers, quoted lines, forwarded letters) are none.
 
@@ -47,6 +48,16 @@ REGULAR = 0.5
 LIST_WORN = 0.25
 #: Share of a list's lines that are entries of registers, schedules and extracts.
 RECORDS = 0.5
+#: An entry that ends with an amount has at most so many words.
+ENTRY_WORDS = 12
+#: Lists of distinct nouns: offers of goods, at least so many and one for so many terms; or at least so many terms in
+#: units with so few function words and capitals, and the share of such terms.
+LEAST_OFFERS = 4
+OFFER_TERMS = 12
+LEAST_BARE = 20
+BARE_FUNCTION = 0.05
+BARE_CAPITALS = 0.2
+BARE_PART = 0.8
 #: Links per term of a link list, and hash tags per term of a tag list.
 LINK_SHARE = 0.12
 TAG_SHARE = 0.30
@@ -65,7 +76,10 @@ FUNCTION_WORDS = frozenset(
     na da ta ya yi cewa wa mu mun shi ne ce kafin domin ko kuma daga zuwa ba sai cikin za
     nke ka anyị ha maka tupu biko bụ nọ n'ime ime ga si gị ndị dị m ahụ naanị""".split()
 )
+#: Words of selling in the same languages; stock numbers (SKU...) count too.
+OFFER_WORDS = frozenset("buy buying sale sell selling shop stock cart order offer offers deal deals discount delivery price checkout rà saya sayarwa zụọ zụta ọrịre".split())
 _FUNCTION = frozenset(unicodedata.normalize("NFC", w) for w in FUNCTION_WORDS)
+_OFFER = frozenset(unicodedata.normalize("NFC", w) for w in OFFER_WORDS)
 _LINK = re.compile(r"""(?:https?://|www\.)[^\s<>()"'\]]+|\b(?:[a-z0-9-]+\.)+(?:com|org|net|info|shop|store|ng|uk|test|invalid|example)\b(?:[/?#][^\s<>()"'\]]*)?|(?<=\]\()/[^\s)]*""", re.I)
 _MARKUP = re.compile(r"<[^<>]{0,40}?(?=\x00)|</?[a-z][^<>]{0,200}>|\x00[\"']?>", re.I)
 _TOKEN = re.compile(r"\x00|#?[^\W_]+(?:['’][^\W_]+)*|[.!?]+(?=\s|$|[\"')\]])|[\n\r;•|»]+", re.U)
@@ -85,6 +99,7 @@ class Unit:
     capitals: int = 0  # words that begin with a capital letter
     numbered: bool = False  # begins with a number: an entry's number, a date or a time
     priced: bool = False  # ends with a number
+    amounts: int = 0  # numbers of three digits or more, and groups of thousands
     entry: tuple[str, ...] = ()  # its words and numbers, but for leading numbers
 
     def sentence(self) -> bool:
@@ -96,7 +111,16 @@ class Unit:
     def record(self) -> bool:
         """Whether it is written like an entry of a register, a schedule or an extract."""
         words = len(self.terms)
-        return not self.links and not self.tags and (self.numbered or self.priced or (2 <= words <= 4 and self.capitals == words))
+        return not self.links and not self.tags and (self.numbered or (self.priced and words <= ENTRY_WORDS) or (2 <= words <= 4 and self.capitals == words))
+
+    def offers(self) -> int:
+        """Goods offered: amounts with a word of selling each."""
+        return 0 if self.record() else min(self.amounts, sum(t in _OFFER or t.startswith("sku") for t in self.terms))
+
+    def bare(self) -> bool:
+        words = len(self.terms)
+        function = sum(t in _FUNCTION for t in self.terms)
+        return not self.ended and not self.record() and function <= BARE_FUNCTION * words and self.capitals <= max(1, BARE_CAPITALS * words)
 
 
 def units(text: str) -> list[Unit]:
@@ -140,6 +164,7 @@ def units(text: str) -> list[Unit]:
                 if not any(c.isalpha() for c in t):
                     unit.priced = bool(unit.terms)
                     unit.numbered |= not unit.terms
+                    unit.amounts += len(t) >= 3
                     if unit.terms:
                         entry.append(t)
                     continue
@@ -209,6 +234,8 @@ def measures(text: str | None) -> dict[str, float]:
         "list_cyclic": cyclic,
         "gap_spread": spread,
         "records": len({u.entry for u in listed if u.record()}) / max(1, len(listed)),
+        "offers": sum(u.offers() for u in listed),
+        "bare": sum(len(u.terms) for u in listed if u.bare()),
         "inside": _recurrence(_once(every))[1],
     }
 
@@ -225,6 +252,10 @@ def is_spam(x: dict[str, float]) -> bool:
             repeated = x["gap_spread"] <= REGULAR or x["list_distinct"] <= LIST_WORN
             if x["list_cyclic"] >= LIST_CYCLIC and repeated and x["records"] < RECORDS:
                 return True
+            offers = x["offers"] >= LEAST_OFFERS and x["offers"] * OFFER_TERMS >= x["list_terms"]
+            bare = x["bare"] >= LEAST_BARE and x["bare"] >= BARE_PART * x["list_terms"]
+            if (offers or bare) and x["records"] < RECORDS:
+                return True
     return x["terms"] >= LEAST_TERMS and x["inside"] >= SENTENCE_RECURRENCE
 
 

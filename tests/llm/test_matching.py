@@ -143,3 +143,26 @@ KEYWORDS = "lamp bag shoe cardigan beret sandal pinafore uniform bottle pencil r
 )
 def test_spam_repeats_at_any_distance(text, spam):
     assert page_spam.is_spam(page_spam.measures(text)) is spam
+
+
+GOODS = "\n".join(f"{a.title()} {b} ₦{n},{n * 7 % 9}50 {c}" for n, (a, b, c) in enumerate(zip(KEYWORDS[:10], KEYWORDS[10:], itertools.cycle(("Buy", "SALE", "In stock", "SKU5519", "Add to cart", "SKU921"))), 1))
+PEOPLE = "Ada Bello,Chidi Nwosu,Zainab Musa,Tunde Ojo,Emeka Eze,Bisi Alabi,Ngozi Okafor,Amina Danladi,Kelechi Obi,Sani Garba".split(",")
+
+
+@pytest.mark.parametrize(
+    "text, spam",
+    [
+        (GOODS, True), (GOODS.replace("\n", " | "), True), (GOODS.replace("\n", ", "), True),
+        (GOODS + "\nThat transfer belongs to Ada, whose guardian confirmed it by phone on 12 July.", True),
+        (", ".join(KEYWORDS) + ", lunch box", True), ("\n".join(KEYWORDS) + "\nlunch box", True), ("tags: " + ", ".join(f"{k} ({n})" for n, k in enumerate(KEYWORDS)), True),
+        ("Register\n" + "\n".join(PEOPLE), False), ("Register\n" + "\n".join(f"{k}. {x.lower()}" for k, x in enumerate(PEOPLE)), False),
+        ("Fees\n" + "\n".join(f"{k.title()} ₦{n},500" for n, k in enumerate(KEYWORDS, 1)), False),
+        ("Fees\n" + "\n".join(f"{k.title()} ₦{n},500 from {PEOPLE[n % 10]}" for n, k in enumerate(KEYWORDS[:9])), False),
+        ("Extract\n" + "\n".join(f"{n:02}/08 NIP95{n}0927 {x} fees SS1 6{n},500" for n, x in enumerate(PEOPLE)), False),
+        ("Extract\n" + "\n".join(f"{n:02}/08 6{n},500 order {x} SKU{n}AB{n}" for n, x in enumerate(PEOPLE)), False),
+        ("Agenda\n" + "\n".join(f"{n}. {k}" for n, k in enumerate(KEYWORDS, 1)), False),
+        ("abeg make una check my payment wey i don send since monday because alert don land but e never show for your side till now", False),
+    ],
+)
+def test_spam_of_distinct_nouns(text, spam):
+    assert page_spam.is_spam(page_spam.measures(text)) is spam
