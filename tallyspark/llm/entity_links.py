@@ -13,7 +13,8 @@ each other given the truth into one factor; it is fitted by expectation maximisa
 patterns of all pairs, of which there are at most ``PATTERNS``. The posterior of a pattern is the confidence.
 
 Each mention of a first name goes to the pair with the highest confidence; ties that nothing resolves are
-left out. Payers that hold a thousandth of all rows or more (collection agents, terminals) name no family.
+left out. Payers name no family (collection agents, terminals) if the same words recur in many rows and either none
+of them is a name of a guardian or student, or the rows name many unrelated families; a guardian is heard however often they pay.
 
 Defined results: rows without a narration, or that name no child, give nothing; null payers, amounts and
 classes are no votes; repeated links and fees count once; copies of a row each get their students; texts of
@@ -36,10 +37,11 @@ from tallyspark.functions.money import parse_money
 from tallyspark.llm import names
 from tallyspark.session import cut, cut_table
 
-#: A payer with at least 1/COLLECTIVE of all rows is no person (so there are at most COLLECTIVE of them).
-COLLECTIVE = 1_000
-#: Families pay less often than this.
+#: Words of a payer that recur in so many rows are no slip of the pen, and name nobody if none of them is a name.
 LEAST_COLLECTIVE = 50
+#: A family is told by few names: so many of them, the commonest, make at least this share of the names in its rows.
+FAMILY_NAMES = 20
+FAMILY_SHARE = 0.5
 #: So many of the commonest names are broadcast, whatever the size of the vocabulary.
 COMMON = 20_000
 #: Least confidence of a link.
@@ -352,6 +354,23 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, steps: int = 200)
     return expectation([(i, j), *((m,) for m in range(k) if m not in (i, j))], truth)
 
 
+def collective_payers(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(who) of payers that name no family, by what they are called and whom their rows name, not by their share of
+    the rows. words: (who, w, p), who being the payer's words in a fixed order; vocabulary: (token, name)."""
+    known = vocabulary.where("name").select("token")
+    often = words.where("who <> ''").groupBy("who").agg(F.count("*").alias("n"), F.first("p.t").alias("t")).where(F.col("n") >= LEAST_COLLECTIVE)
+    often = cut_table(often.select("who", "t"))
+    called = cut_table(often.select("who", F.explode("t").alias("token")).join(known, "token", "left_semi").select("who").distinct())
+    # those that are called by a name: the names in their rows without their own
+    told = words.join(called, "who", "left_semi").select("who", F.explode(F.array_except("w", "p.t")).alias("token"))
+    told = told.groupBy("who", "token").agg(F.count("*").alias("n")).join(known, "token", "left_semi")
+    place = Window.partitionBy("who").orderBy(F.desc("n"), "token")
+    ranked = told.withColumn("rank", F.row_number().over(place))
+    shares = ranked.groupBy("who").agg((F.sum(F.when(F.col("rank") <= FAMILY_NAMES, F.col("n"))) / F.sum("n")).alias("share"))
+    many = shares.where(F.col("share") < FAMILY_SHARE).select("who")
+    return often.select("who").join(called, "who", "left_anti").unionByName(many)
+
+
 def matches(statements: DataFrame, students: DataFrame, guardians: DataFrame, links: DataFrame, fees: DataFrame) -> DataFrame:
     """(row_id, student_id, confidence) of every statement row and student it pays for."""
     spark = statements.sparkSession
@@ -362,15 +381,14 @@ def matches(statements: DataFrame, students: DataFrame, guardians: DataFrame, li
         class_code(F.coalesce("narration", F.lit(""))).alias("row_level"),
         _row_words("narration", "payer").alias("x"),
     ).select("row_id", "payer", "amount", "row_level", F.col("x.w").alias("w"), F.col("x.i").alias("i"), F.col("x.p").alias("p"))
-    words = cut_table(words)
-    counted = words.groupBy("payer").agg(F.count("*").alias("n"))
-    least = max(LEAST_COLLECTIVE, -(-words.count() // COLLECTIVE))
-    crowd = cut(counted.where(F.col("n") >= least).select("payer", F.lit(True).alias("collective")))  # at most COLLECTIVE
-    rows = words.where(F.size("w") > 0).join(F.broadcast(crowd), "payer", "left")
+    words = cut_table(words.withColumn("who", F.array_join(F.array_sort("p.t"), " ")))
+    keys, vocabulary = students_with_keys(students, guardians, links, fees)
+    vocabulary = cut(vocabulary)
+    crowd = cut_table(collective_payers(words, vocabulary))  # of known size: broadcast where it is small
+    rows = words.where(F.size("w") > 0).join(crowd.withColumn("collective", F.lit(True)), "who", "left")
     rows = rows.withColumn("collective", F.coalesce("collective", F.col("payer") == ""))
     rows = rows.withColumn("p", F.when(F.col("collective"), F.array().cast("array<struct<t:string,m:int>>")).otherwise(F.col("p")))
-    keys, vocabulary = students_with_keys(students, guardians, links, fees)
-    pairs = candidate_pairs(rows, keys, cut(vocabulary))
+    pairs = candidate_pairs(rows, keys, vocabulary)
     voted = cut_table(votes(pairs).select("row_id", "student_id", "mention", "strength", *(f"v{k}" for k in range(6))))
     names_ = [f"v{k}" for k in range(6)]
     table = voted.groupBy(*names_).agg(F.count("*").alias("n")).collect()  # at most PATTERNS rows

@@ -78,6 +78,26 @@ def test_links(spark, school):
     assert {x for x in got if x[0] >= n} >= {(n, "S31"), (n + 3, "S04")} and not {x for x in got if x[0] in (n + 1, n + 2)}
 
 
+def test_links_of_a_guardian_with_a_third_of_the_rows(spark, school):
+    make = spark.createDataFrame
+    guardians = school[1].union(make([("G9", "Ngozi Adaku")], school[1].schema))
+    links = school[2].union(make([("S01", "G9")], school[2].schema))
+    pupils = school[0].collect()
+    fee = {r.student_id: r.amount for r in school[3].collect()}
+    rows = [(k, "Ngozi Adaku", "Chidi fees", fee["S01"], "x") for k in range(60)]
+    rows += [(100 + k, "Zumari Agent", f"fees for {p.name}", fee[p.student_id], "x") for k, p in enumerate(pupils * 2)]
+    got = {(r.row_id, r.student_id) for r in entity_links.matches(make(rows, STATEMENTS), school[0], guardians, links, school[3]).collect()}
+    assert {x for x in got if x[0] < 100} == {(k, "S01") for k in range(60)}
+    assert {x for x in got if x[0] >= 100} == {(100 + k, p.student_id) for k, p in enumerate(pupils * 2)}
+
+
+def test_collective_payers(spark):
+    names_ = spark.createDataFrame([(f"name{k}x", True) for k in range(500)] + [("bello", True), ("ngozi", True), ("agent", False)], "token string, name boolean")
+    rows = [("agent zumari", [f"name{k % 3}x"]) for k in range(50)] + [("bello ngozi", [f"name{k % 3}x"]) for k in range(5_000)] + [("bello ventures", [f"name{k}x"]) for k in range(500)] + [("rare", ["name1x"])] * 49 + [("", ["name1x"])] * 99
+    words = spark.createDataFrame([(who, w, [(t, 0) for t in who.split()]) for who, w in rows], "who string, w array<string>, p array<struct<t string, m int>>")
+    assert {r.who for r in entity_links.collective_payers(words, names_).collect()} == {"agent zumari", "bello ventures"}
+
+
 def test_links_of_empty_tables(spark, school):
     none = spark.createDataFrame([], STATEMENTS)
     assert entity_links.matches(none, *school).count() == 0
