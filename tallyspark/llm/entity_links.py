@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import itertools
 import re
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ FAMILY_NAMES = 20
 FAMILY_SHARE = 0.5
 #: So many of the commonest names are broadcast, whatever the size of the vocabulary.
 COMMON = 20_000
+#: Token positions per mask; as many masks are kept as the longest narration needs.
+PLACES = 60
 #: Least confidence of a link.
 CONFIDENT = 0.5
 #: Share of the weak start in every step of the fit. It keeps the latent class the one that the functions vote
@@ -200,10 +204,11 @@ def token_map(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return every.groupBy("token", "known").agg(F.min("form").alias("form"))
 
 
-def candidate_pairs(rows: DataFrame, keys: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(row_id, student_id, bits, heads, covers, level, total, amount, row_level, collective): every pair
-    of a row and a student that meet. As bits of token positions: heads, the names of the child; covers, all
-    names of the student. rows: (row_id, w, i, p, amount, row_level, collective)."""
+def candidate_pairs(rows: DataFrame, keys: DataFrame, vocabulary: DataFrame, masks: int = 1) -> DataFrame:
+    """(row_id, student_id, bits, heads0.., covers0.., level, total, amount, row_level, collective): every pair
+    of a row and a student that meet. As bits of token positions, ``PLACES`` to a
+    mask, in as many masks as the longest narration needs: heads, the names of the child; covers, all names of the
+    student. rows: (row_id, w, i, p, amount, row_level, collective)."""
     frequent = rows.select(F.explode(F.concat("w", "p.t")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     frequent = cut_table(frequent)
     # the commonest names need no mapping and are kept out of its joins; at most COMMON of them
@@ -235,22 +240,24 @@ def candidate_pairs(rows: DataFrame, keys: DataFrame, vocabulary: DataFrame) ->
     both = (F.col("where") == -1) & (F.col("mask").bitwiseAND(F.col("m")) > 0)
     seen = seen.bitwiseOR(F.when(both, GUARDIAN).otherwise(0))
     bits = F.when(seen > 0, seen.bitwiseOR(form)).otherwise(0).cast("int")
-    covers = _place("pos").bitwiseOR(F.when(F.col("where") >= 0, _place("where")).otherwise(0))
+    heads = [_place("pos", k).alias(f"heads{k}") for k in range(masks)]
+    covers = [_place("pos", k).bitwiseOR(_place("where", k)).alias(f"covers{k}") for k in range(masks)]
     met = (
-        found.select("row_id", "student_id", "level", "total", "own", bits.alias("bits"), _place("pos").alias("heads"), covers.alias("covers"))
+        found.select("row_id", "student_id", "level", "total", "own", bits.alias("bits"), *heads, *covers)
         .where("bits > 0")
         .repartition("row_id")
         .groupBy("row_id", "student_id")
-        .agg(F.bit_or("bits").alias("bits"), F.bit_or("heads").alias("heads"), F.bit_or("covers").alias("covers"), F.max("level").alias("level"), F.max("total").alias("total"), F.max("own").alias("own"))
+        .agg(F.bit_or("bits").alias("bits"), *(F.bit_or(f"{c}{k}").alias(f"{c}{k}") for c in ("heads", "covers") for k in range(masks)), F.max("level").alias("level"), F.max("total").alias("total"), F.max("own").alias("own"))
     )
     full = met.join(rows.select("row_id", "amount", "row_level", "collective", "i"), "row_id")
     initial = F.when(F.col("i").bitwiseAND(F.col("own")) > 0, INITIAL).otherwise(0)
     return full.withColumn("bits", F.col("bits").bitwiseOR(initial))
 
 
-def _place(name: str) -> Column:
-    """The bit of a token position; positions from the sixtieth on share one."""
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(F.col(name), F.lit(60)))
+def _place(name: str, mask: int) -> Column:
+    """The bit of a token position in one of the masks, or none; negative positions are in no mask."""
+    at = F.col(name) - mask * PLACES
+    return F.when((at >= 0) & (at < PLACES), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.cast("int"))).otherwise(F.lit(0).cast("bigint"))
 
 
 def _has(bit: int) -> Column:
@@ -266,19 +273,21 @@ def _strength(amount: Column, level: Column) -> Column:
     return total
 
 
-def votes(pairs: DataFrame) -> DataFrame:
+def votes(pairs: DataFrame, masks: int = 1) -> DataFrame:
     """One row per pair and mention of a child's name, with the outcomes v0..v5 of the six functions.
     pairs: as from ``candidate_pairs``."""
     row, place = Window.partitionBy("row_id"), Window.partitionBy("row_id", "mention")
-    mention = F.explode(F.filter(F.sequence(F.lit(0), F.lit(60)), lambda k: F.getbit("heads", k) > 0))
-    each = pairs.withColumn("mention", mention).sortWithinPartitions("row_id", "mention")
+    of = range(masks)
+    marked = lambda k: F.filter(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda b: F.getbit(f"heads{k}", b) > 0)
+    mention = F.concat(*(F.transform(marked(k), lambda b, k=k: b + k * PLACES) for k in of))
+    each = pairs.withColumn("mention", F.explode(mention)).sortWithinPartitions("row_id", "mention")
     each = each.withColumn("rivals", F.count("*").over(place) - 1)
     # what the children that nobody else could be meant by cost together
     sure = F.when(F.col("rivals") == 0, F.col("total"))
-    each = each.withColumns({"row_heads": F.bit_or("heads").over(row), "known": F.bit_or("covers").over(row), "together": F.sum(sure).over(row)})
-    each = each.withColumn("mentions", F.bit_count("row_heads"))
+    each = each.withColumns({**{f"row_heads{k}": F.bit_or(f"heads{k}").over(row) for k in of}, **{f"known{k}": F.bit_or(f"covers{k}").over(row) for k in of}, "together": F.sum(sure).over(row)})
+    each = each.withColumn("mentions", reduce(add, (F.bit_count(f"row_heads{k}") for k in of)))
     form = F.when(_has(EXACT), 0).when(_has(ALIAS), 1).when(_has(FUZZY) | _has(SPLIT), 2).when(_has(SHORT), 3).otherwise(4)
-    lost = F.bit_count(F.col("known").bitwiseAND(F.bitwise_not(F.col("covers").bitwiseOR(F.col("row_heads")))))
+    lost = reduce(add, (F.bit_count(F.col(f"known{k}").bitwiseAND(F.bitwise_not(F.col(f"covers{k}").bitwiseOR(F.col(f"row_heads{k}"))))) for k in of))
     surname = F.when(_has(SURNAME), 0).when(_has(INITIAL), 1).when(lost == 0, 2).otherwise(3)
     payer = F.when(_has(GUARDIAN), 0).when(_has(FAMILY) | _has(OWN) | _has(GIVEN), 1).when(F.col("collective"), 2).otherwise(3)
     near = lambda x, y: F.abs(x / y - 1) < 0.003
@@ -388,8 +397,10 @@ def matches(statements: DataFrame, students: DataFrame, guardians: DataFrame, li
     rows = words.where(F.size("w") > 0).join(crowd.withColumn("collective", F.lit(True)), "who", "left")
     rows = rows.withColumn("collective", F.coalesce("collective", F.col("payer") == ""))
     rows = rows.withColumn("p", F.when(F.col("collective"), F.array().cast("array<struct<t:string,m:int>>")).otherwise(F.col("p")))
-    pairs = candidate_pairs(rows, keys, vocabulary)
-    voted = cut_table(votes(pairs).select("row_id", "student_id", "mention", "strength", *(f"v{k}" for k in range(6))))
+    longest = words.agg(F.max(F.size("w"))).first()[0] or 0
+    masks = max(1, -(-longest // PLACES))
+    pairs = candidate_pairs(rows, keys, vocabulary, masks)
+    voted = cut_table(votes(pairs, masks).select("row_id", "student_id", "mention", "strength", *(f"v{k}" for k in range(6))))
     names_ = [f"v{k}" for k in range(6)]
     table = voted.groupBy(*names_).agg(F.count("*").alias("n")).collect()  # at most PATTERNS rows
     patterns = np.array([[r[c] for c in names_] for r in table], int).reshape(-1, 6)

@@ -98,6 +98,17 @@ def test_collective_payers(spark):
     assert {r.who for r in entity_links.collective_payers(words, names_).collect()} == {"agent zumari", "bello ventures"}
 
 
+def test_links_of_a_long_narration(spark, school):
+    pupils = school[0].collect()
+    fee = {r.student_id: r.amount for r in school[3].collect()}
+    rows = [(k, "Mama " + p.name.split()[1], f"fees for {p.name}", fee[p.student_id], "x") for k, p in enumerate(pupils)]
+    others = [a + b + "q" for a, b in itertools.product(("wrt", "zxv", "kjh", "qpl", "mfd"), "abcdefghijklmnopqrstuvwxyz")]
+    for n, words in ((1000, others[:70]), (1001, others)):
+        rows.append((n, "Mama Bello", " ".join(words) + " Chidi Ngozi Emeka Zainab", None, "x"))
+    got = {(r.row_id, r.student_id) for r in entity_links.matches(spark.createDataFrame(rows, STATEMENTS), *school).collect()}
+    assert {x for x in got if x[0] >= 1000} == {(n, f"S{a}1") for n in (1000, 1001) for a in range(4)}
+
+
 def test_links_of_empty_tables(spark, school):
     none = spark.createDataFrame([], STATEMENTS)
     assert entity_links.matches(none, *school).count() == 0
