@@ -96,6 +96,16 @@ def reversal_guards(spark, folder):
     return ledger.reversal_problems(asked, log)
 
 
+def reversal_requests(spark, folder):
+    """Requests for real events of all lines: every allocation, that of a first line twice, every reversal, and an
+    unknown event for each seventh line."""
+    lines = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
+    key = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    ids = F.array(key, F.when(F.col("l_linenumber") == 1, key), F.when(F.col("l_returnflag") == "R", key + 50), F.when(F.col("l_linenumber") == 7, key + 20))
+    asked = lines.select(F.explode(F.array_compact(ids)).alias("event_id"))
+    return ledger.reversal_problems(asked, tables.ledger(spark, folder))
+
+
 def orphan_links(spark, folder):
     from tallyspark.operators.ingest import orphans
 
@@ -136,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         student_status, live_events_by_kind, charge_balance, dashboard_totals, holder_credit, txn_unapplied, payer_history, audit_trail, charges_by_priority, waterfall_allocation,
-        waterfall_surplus, sequential_posting, constraint_violations, reversal_guards, orphan_links,
+        waterfall_surplus, sequential_posting, constraint_violations, reversal_guards, reversal_requests, orphan_links,
     )
 }
 ORACLE = {
@@ -180,6 +190,12 @@ ORACLE = {
     + """, asked as (select l_orderkey * 100 + l_linenumber * 10 as event_id, count(*) as times from lineitem where l_orderkey % 3 = 0 group by 1),
     j as (select a.event_id, case when l.event_id is null then 'unknown' when l.event_type = 'reversal' then 'is_reversal' when a.event_id in (select reverses_event_id from ledger where event_type = 'reversal') then 'already_reversed' when times > 1 then 'requested_twice' end as problem
       from asked a left join ledger l on l.event_id = a.event_id) select event_id, problem from j where problem is not null""",
+    "reversal_requests": _WITH
+    + """, wanted as (select l_orderkey * 100 + l_linenumber as event_id from lineitem union all select l_orderkey * 100 + 1 from lineitem where l_linenumber = 1
+      union all select l_orderkey * 100 + l_linenumber + 50 from lineitem where l_returnflag = 'R' union all select l_orderkey * 100 + 27 from lineitem where l_linenumber = 7),
+    asked as (select event_id, count(*) as times from wanted group by 1), undone as (select distinct reverses_event_id as event_id from ledger where event_type = 'reversal'),
+    j as (select a.event_id, case when l.event_id is null then 'unknown' when l.event_type = 'reversal' then 'is_reversal' when u.event_id is not null then 'already_reversed' when times > 1 then 'requested_twice' end as problem
+      from asked a left join ledger l using (event_id) left join undone u using (event_id)) select event_id, problem from j where problem is not null""",
     "orphan_links": """select 'link_student' as relation, student_id as id, count(*) as rows from student_guardians where student_id is not null and student_id not in (select student_id from students) group by 2
     union all select 'fee_student', student_id, count(*) from fees where student_id is not null and student_id not in (select student_id from students) group by 2
     union all select 'link_guardian', guardian_id, count(*) from student_guardians where guardian_id is not null and guardian_id not in (select guardian_id from guardians) group by 2""",

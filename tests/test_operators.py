@@ -161,3 +161,10 @@ def test_model_path(spark):
     raw = spark.createDataFrame([('{"transaction_id":"T","action":"propose","explanation":"e","allocations":[{"student_id":"S","amount_minor":true,"reason_codes":[]}]}',), ("[1]",), (None,)], "raw string")
     got = [r.p for r in raw.select(modelpath.output_problem(F.col("raw"), F.lit("T"), F.array(F.lit("S")), ("A",), ("propose",)).alias("p")).collect()]
     assert got == ["bad_amount", "invalid_json", "invalid_json"]
+
+
+def test_reversal_requests_meet_every_problem(spark, folder):
+    from tallyspark.plans import catalogue
+
+    found = {r.problem for r in catalogue.QUERIES["reversal_requests"](spark, folder).select("problem").distinct().collect()}
+    assert found == {"unknown", "is_reversal", "already_reversed", "requested_twice"}
