@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,13 +48,28 @@ def amount_matches(payments: DataFrame, balances: DataFrame) -> DataFrame:
     return payments.join(counts, "amount").select("payment_id", "matching")
 
 
+def _letters(text: str) -> Column:
+    """A bit per letter a to z that occurs; one bit for all other characters."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1), F.when((c >= "a") & (c <= "z"), F.ascii(c) - 97).otherwise(26))
+    return F.aggregate(F.transform(F.split(F.col(text), ""), bit), F.lit(0), lambda x, y: x.bitwiseOR(y))
+
+
 def alike_names(left: DataFrame, right: DataFrame, at_least: float = ALIKE) -> DataFrame:
-    """(a, b, score) of distinct texts a and b whose similarity is at least so high, found through their first
-    letters. left: (a), right: (b)."""
-    l, r = left.select("a").distinct(), right.select("b").distinct()
-    pairs = l.join(r, F.substring("a", 1, 2) == F.substring("b", 1, 2))
-    shorter, longer = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    return pairs.where(shorter >= longer * 0.4).withColumn("score", jaro_winkler(F.col("a"), F.col("b"))).where(F.col("score") >= at_least)
+    """(a, b, score) of distinct texts a and b whose similarity is at least so high. Every pair is looked at; pairs
+    that cannot reach it by their lengths, common beginning and letters are left out before it is computed. With
+    m common letters the Jaro part is at most (m / shorter + m / longer + 1) / 3. left: (a), right: (b)."""
+    l = left.where("a is not null").select("a").distinct().select("a", F.length("a").alias("_n"), _letters("a").alias("_x"))
+    r = right.where("b is not null").select("b").distinct().select("b", F.length("b").alias("_m"), _letters("b").alias("_y"))
+    prefix = F.lit(0)
+    for k in range(1, 5):
+        prefix = F.when((F.least("_n", "_m") >= k) & (F.substring("a", 1, k) == F.substring("b", 1, k)), k).otherwise(prefix)
+    only_a = F.bit_count(F.col("_x").bitwiseAND(F.bitwise_not(F.col("_y"))))
+    only_b = F.bit_count(F.col("_y").bitwiseAND(F.bitwise_not(F.col("_x"))))
+    common = F.least(F.col("_n") - only_a, F.col("_m") - only_b)
+    jaro = (common / F.greatest("_n", F.lit(1)) + common / F.greatest("_m", F.lit(1)) + 1) / 3
+    reach = jaro + prefix * 0.1 * (1 - jaro)
+    pairs = l.join(r, (F.col("a") == F.col("b")) | (reach >= at_least - 1e-9))
+    return pairs.select("a", "b", jaro_winkler(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= at_least)
 
 
 def best_candidates(signals: DataFrame, top: int = TOP) -> DataFrame:

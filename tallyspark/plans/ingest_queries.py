@@ -104,8 +104,17 @@ def jaro_winkler_scores(spark, folder):
     return ascii_.select("guardian_id", F.round(similarity.jaro_winkler(F.col("normalized_name"), F.col("next")), 9).alias("score"))
 
 
+def fuzzy_candidates(spark, folder):
+    """(token, target, score): tokens of guardians' names that are like a student's whole name or alias."""
+    probes = table(spark, folder, "guardians", "normalized_name").select(F.explode(text.tokens(F.col("normalized_name"))).alias("a"))
+    students = table(spark, folder, "students", "normalized_name", "aliases")
+    aliases = students.select(F.explode(text.alias_list(F.col("aliases"))).alias("b")).select(text.normalize_name(F.col("b")).alias("b"))
+    targets = students.select(F.col("normalized_name").alias("b")).unionByName(aliases).where("b <> ''")
+    return relations.alike_names(probes, targets).select(F.col("a").alias("token"), F.col("b").alias("target"), F.round("score", 9).alias("score"))
+
+
 def candidate_top5(spark, folder):
-    """The best five students per guardian by shared name tokens and a fuzzy name."""
+    """The best five students per guardian by shared name tokens alone; the generator's other signals are not in it."""
     texts = table(spark, folder, "guardians", "guardian_id", "normalized_name").select(F.col("guardian_id").alias("text_id"), F.col("normalized_name").alias("text"))
     names = table(spark, folder, "students", "student_id", "normalized_name").select(F.col("student_id").alias("name_id"), F.col("normalized_name").alias("name"))
     overlap = relations.token_overlap(texts, names.select("name_id", "name"))
@@ -132,7 +141,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         money_parse, name_normalise, reference_canonical, token_lists, alias_lists, text_measures, stable_seeds, statement_import_outcomes, import_batch_summary, student_import, fee_import,
-        mapped_columns, sibling_counts, phone_suffix_join, exact_balance_join, jaro_winkler_scores, candidate_top5,
+        mapped_columns, sibling_counts, phone_suffix_join, exact_balance_join, jaro_winkler_scores, fuzzy_candidates, candidate_top5,
     )
 }
 ORACLE = {
@@ -171,6 +180,11 @@ ORACLE = {
     s as (select *, jaro_similarity(x, y) as s, case when substr(x,1,4) = substr(y,1,4) and length(x) >= 4 and length(y) >= 4 then 4 when substr(x,1,3) = substr(y,1,3) and length(x) >= 3 and length(y) >= 3 then 3
       when substr(x,1,2) = substr(y,1,2) and length(x) >= 2 and length(y) >= 2 then 2 when substr(x,1,1) = substr(y,1,1) then 1 else 0 end as p from j)
     select guardian_id, round(s + 0.1 * p * (1 - s), 9) as score from s""",
+    "fuzzy_candidates": f"""with p as (select distinct unnest({_TOKENS.format(c='normalized_name')}) as x from guardians),
+    t as (select normalized_name as y from students union select {_NAME.format(c='y')} from (select unnest(string_split(coalesce(aliases, ''), ';')) as y from students)),
+    s as (select x, y, jaro_similarity(x, y) as s, case when substr(x,1,4) = substr(y,1,4) and length(x) >= 4 and length(y) >= 4 then 4 when substr(x,1,3) = substr(y,1,3) and length(x) >= 3 and length(y) >= 3 then 3
+      when substr(x,1,2) = substr(y,1,2) and length(x) >= 2 and length(y) >= 2 then 2 when substr(x,1,1) = substr(y,1,1) then 1 else 0 end as p from p, t where y <> '')
+    select x as token, y as target, round(s + 0.1 * p * (1 - s), 9) as score from s where s + 0.1 * p * (1 - s) >= 0.88""",
     "candidate_top5": """with g as (select distinct guardian_id as text_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(normalized_name, '')), '[^a-z0-9]+'), lambda t: t <> '')) as token from guardians),
     s as (select distinct student_id as name_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(normalized_name, '')), '[^a-z0-9]+'), lambda t: t <> '')) as token from students),
     o as (select text_id, name_id, count(*) as common from g join s using (token) group by 1, 2),

@@ -168,3 +168,16 @@ def test_reversal_requests_meet_every_problem(spark, folder):
 
     found = {r.problem for r in catalogue.QUERIES["reversal_requests"](spark, folder).select("problem").distinct().collect()}
     assert found == {"unknown", "is_reversal", "already_reversed", "requested_twice"}
+
+
+def test_alike_names_lose_no_pair(spark):
+    import random
+
+    from tallyspark.functions.similarity import winkler
+    from tallyspark.operators import relations
+
+    rng = random.Random(5)
+    texts = ["kevin adewale", "cevin adewale", "ab", "ba", "a", "", "ọmọ", "omo"] + ["".join(rng.choices("abcd ", k=rng.randint(1, 9))) for _ in range(300)]
+    left, right = spark.createDataFrame([(x,) for x in texts + [None]], "a string"), spark.createDataFrame([(x,) for x in texts + [None]], "b string")
+    got = {(r.a, r.b) for r in relations.alike_names(left, right).collect()}
+    assert got == {(x, y) for x in texts for y in texts if winkler(x, y) >= relations.ALIKE} and ("kevin adewale", "cevin adewale") in got
