@@ -8,7 +8,8 @@ matched, and how, is collected per pair as bits.
 
 Confidence. Heuristic functions vote on each pair from these bits and from amount and class: form of the
 first name, surname, payer, amount, class, and whether a rival for the mention has as much evidence. A generative label model
-learns from the votes alone how accurate each function is, and joins the two functions that depend most on
+learns from the votes how accurate each function is, while every step of the fit keeps half (``ANCHOR``) of a
+hand-set score of the votes, so that the confidence is not the posterior of a model learnt from the votes alone; it joins the two functions that depend most on
 each other given the truth into one factor; it is fitted by expectation maximisation on the counts of vote
 patterns of all pairs, of which there are at most ``PATTERNS``. The posterior of a pattern is the confidence.
 
@@ -309,7 +310,7 @@ def votes(pairs: DataFrame, masks: int = 1) -> DataFrame:
 
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Posterior probability of each vote pattern, learnt from the counts alone.
+    """Confidence of each vote pattern, learnt from the counts and held by half (``ANCHOR``) to a hand-set score.
 
     patterns: [n, functions] outcomes. A latent truth with class-conditional outcome tables is fitted by
     expectation maximisation from a weak start (a surname, a guardian's name or a fitting amount speak for a
