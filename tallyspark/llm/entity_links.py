@@ -280,7 +280,8 @@ def votes(pairs: DataFrame, masks: int = 1) -> DataFrame:
     row, place = Window.partitionBy("row_id"), Window.partitionBy("row_id", "mention")
     of = range(masks)
     marked = lambda k: F.filter(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda b: F.getbit(f"heads{k}", b) > 0)
-    mention = F.concat(*(F.transform(marked(k), lambda b, k=k: b + k * PLACES) for k in of))
+    shifted = lambda k: F.transform(marked(k), lambda b: b + k * PLACES)
+    mention = F.concat(*(shifted(k) for k in of))
     each = pairs.withColumn("mention", F.explode(mention)).sortWithinPartitions("row_id", "mention")
     each = each.withColumn("rivals", F.count("*").over(place) - 1)
     # what the children that nobody else could be meant by cost together

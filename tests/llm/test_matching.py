@@ -109,6 +109,12 @@ def test_links_of_a_long_narration(spark, school):
     assert {x for x in got if x[0] >= 1000} == {(n, f"S{a}1") for n in (1000, 1001) for a in range(4)}
 
 
+def test_mentions_of_one_pair_keep_their_positions(spark):
+    columns = "row_id bigint, student_id string, bits int, heads0 bigint, covers0 bigint, heads1 bigint, covers1 bigint, level int, total bigint, amount bigint, row_level int, collective boolean"
+    pairs = spark.createDataFrame([(1, "S", 1, 5, 5, 2, 2, None, None, None, None, False)], columns)
+    assert sorted(r.mention for r in entity_links.votes(pairs, 2).collect()) == [0, 2, 61]
+
+
 def test_links_of_empty_tables(spark, school):
     none = spark.createDataFrame([], STATEMENTS)
     assert entity_links.matches(none, *school).count() == 0
