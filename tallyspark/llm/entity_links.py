@@ -8,9 +8,8 @@ matched, and how, is collected per pair as bits.
 
 Confidence. Heuristic functions vote on each pair from these bits and from amount and class: form of the
 first name, surname, payer, amount, class, and whether a rival for the mention has as much evidence. A generative label model
-learns from the votes how accurate each function is, while every step of the fit keeps half (``ANCHOR``) of a
-hand-set score of the votes, so that the confidence is not the posterior of a model learnt from the votes alone; it joins the two functions that depend most on
-each other given the truth into one factor; it is fitted by expectation maximisation on the counts of vote
+learns from the votes alone how accurate each function is; a weak score of the votes is where the fit begins. Functions
+that depend on each other given the truth are joined into factors. It is fitted by expectation maximisation on the counts of vote
 patterns of all pairs, of which there are at most ``PATTERNS``. The posterior of a pattern is the confidence.
 
 Each mention of a first name goes to the pair with the highest confidence; ties that nothing resolves are
@@ -51,9 +50,8 @@ COMMON = 20_000
 PLACES = 60
 #: Least confidence of a link.
 CONFIDENT = 0.5
-#: Share of the weak start in every step of the fit. It keeps the latent class the one that the functions vote
-#: on; without it the fit may settle on another strong split of the votes, such as whether a surname is told.
-ANCHOR = 0.5
+#: Mutual information, given the truth, from which two functions are one factor of the model.
+DEPENDENT = 0.01
 #: Outcomes of the six voting functions; their product bounds the patterns collected.
 OUTCOMES = (5, 4, 4, 4, 3, 3)
 PATTERNS = int(np.prod(OUTCOMES))
@@ -122,9 +120,9 @@ def class_code(text: Column) -> Column:
 
 
 def _pair_key(child: str | Column, context: str | Column) -> Column:
-    """48 bits of a hash of two tokens; a chance collision needs two names and shows as a stray candidate with a
-    probability of one in millions."""
-    return F.shiftrightunsigned(F.xxhash64(child, context), 16)
+    """A hash of two tokens. It is not verified: among a thousand million keys and as many different pairs of words the
+    number of stray candidates to be expected is 0.05, and a stray one still needs the votes."""
+    return F.xxhash64(child, context)
 
 
 def _first_letter(name: str) -> Column:
@@ -135,8 +133,8 @@ def _first_letter(name: str) -> Column:
 
 def students_with_keys(students: DataFrame, guardians: DataFrame, links: DataFrame, fees: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(keys, vocabulary). keys: one row per student and pair of tokens (child token, context token), hashed,
-    with the evidence it stands for, the student's total fees and class. vocabulary: (token, name) with name true for
-    tokens of names, false for aliases only."""
+    with the evidence it stands for, the student's total fees and class. vocabulary: (token, name, head) with name true
+    for tokens of names, false for aliases only, and head true for what a child may be called by."""
     surname_first = F.col("name").contains(",")
     own = students.select(
         "student_id",
@@ -165,10 +163,11 @@ def students_with_keys(students: DataFrame, guardians: DataFrame, links: DataFra
     # what a token pair stands for, in one number: context evidence, and whether the child's name is an alias
     stands = F.col("e").bitwiseOR(F.when(F.col("alias"), ALIAS).otherwise(0))
     keys = heads.join(context, "student_id").where("t <> c").select(_pair_key("t", "c").alias("key"), "student_id", "level", "total", "own", "m", stands.alias("stands"))
-    words = base.select(F.explode("n").alias("token"), F.lit(True).alias("name"))
-    words = words.unionByName(base.select(F.explode("a").alias("token"), F.lit(False).alias("name")))
-    words = words.unionByName(kin.select(F.explode("g.t").alias("token"), F.lit(True).alias("name")))
-    vocabulary = words.where(F.length("token") > 1).groupBy("token").agg(F.max("name").alias("name"))
+    words = base.select(F.explode("n").alias("token"), F.lit(True).alias("name"), F.lit(False).alias("head"))
+    words = words.unionByName(base.select(F.explode("a").alias("token"), F.lit(False).alias("name"), F.lit(False).alias("head")))
+    words = words.unionByName(kin.select(F.explode("g.t").alias("token"), F.lit(True).alias("name"), F.lit(False).alias("head")))
+    words = words.unionByName(base.where("surname is not null").select(F.explode(child).alias("x")).select(F.col("x.t").alias("token"), F.lit(False).alias("name"), F.lit(True).alias("head")))
+    vocabulary = words.where(F.length("token") > 1).groupBy("token").agg(F.max("name").alias("name"), F.max("head").alias("head"))
     return keys, vocabulary
 
 
@@ -185,7 +184,7 @@ def _deletions(token: str) -> Column:
 
 
 def token_map(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(token, known, form) of distinct tokens that are no names: form FUZZY for one edit, SPLIT for one of two
+    """(token, known, form, head) of distinct tokens that are no names: form FUZZY for one edit, SPLIT for one of two
     names run together, SHORT for a prefix of the known token."""
     plain = vocabulary
     whole = cut_table(tokens.join(vocabulary.where("name").select("token"), "token", "left_anti"))
@@ -202,37 +201,76 @@ def token_map(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     short = whole.where("length(token) between 3 and 5").join(lead.select("known", F.substring("known", 1, F.col("k")).alias("token")), "token")
     every = near.withColumn("form", F.lit(FUZZY))
     every = every.unionByName(parts.withColumn("form", F.lit(SPLIT))).unionByName(short.select("token", "known").withColumn("form", F.lit(SHORT)))
-    return every.groupBy("token", "known").agg(F.min("form").alias("form"))
+    every = every.groupBy("token", "known").agg(F.min("form").alias("form"))
+    return every.join(plain.select(F.col("token").alias("known"), "head"), "known")
+
+
+_ENTRY = "array<struct<pos:int,known:string,form:int,mask:int>>"
+
+
+def _entry(pos: Column, known: Column, form: Column, mask: Column) -> Column:
+    return F.struct(pos.cast("int").alias("pos"), known.alias("known"), form.cast("int").alias("form"), mask.cast("int").alias("mask"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """``rows`` with told, what a narration's words stand for as they are, and around, all that may stand beside a
+    child's name: these, the payer's words, and single letters where no payer is given."""
+    exact, none = F.lit(EXACT), F.lit(0)
+    told = F.transform("w", lambda t, k: _entry(k, t, exact, none))
+    payer = F.transform("p", lambda x: _entry(F.lit(-1), x["t"], exact, x["m"]))
+    # an initial alone is a context only where no payer gives one
+    letters = F.filter(F.sequence(F.lit(0), F.lit(25)), lambda k: F.getbit("i", k) > 0)
+    single = F.when(F.size("p") == 0, F.transform(letters, lambda k: _entry(F.lit(-2), F.char(k + 97), exact, none))).otherwise(F.array().cast(_ENTRY))
+    return rows.withColumn("told", told).withColumn("around", F.concat("told", payer, single))
+
+
+def _paired(heads: DataFrame, among: Column) -> DataFrame:
+    """(row_id, key, place, what) of every head with every entry of ``among``: place is the head's position and the
+    other's, what is the other's initials and the form of the head. heads: (row_id, h, ...)."""
+    pairs = heads.select("row_id", "h", F.explode(among).alias("o")).where("h.known <> o.known")
+    place = F.col("h.pos").cast("bigint") * (1 << 32) + F.col("o.pos") + 2
+    return pairs.select("row_id", _pair_key(F.col("h.known"), F.col("o.known")).alias("key"), place.alias("place"), (F.col("o.mask").cast("bigint") * (1 << 16) + F.col("h.form")).alias("what"))
 
 
 def candidate_pairs(rows: DataFrame, keys: DataFrame, vocabulary: DataFrame, masks: int = 1) -> DataFrame:
     """(row_id, student_id, bits, heads0.., covers0.., level, total, amount, row_level, collective): every pair
     of a row and a student that meet. As bits of token positions, ``PLACES`` to a
     mask, in as many masks as the longest narration needs: heads, the names of the child; covers, all names of the
-    student. rows: (row_id, w, i, p, amount, row_level, collective)."""
-    frequent = rows.select(F.explode(F.concat("w", "p.t")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    frequent = cut_table(frequent)
-    # the commonest names need no mapping and are kept out of its joins; at most COMMON of them
-    common = cut(frequent.join(vocabulary.where("name").select("token"), "token", "left_semi").orderBy(F.desc("n"), "token").limit(COMMON).select("token"))
-    mapping = cut_table(token_map(frequent.select("token").join(F.broadcast(common), "token", "left_anti"), vocabulary))
-    told = rows.select("row_id", F.posexplode("w").alias("pos", "token")).withColumn("mask", F.lit(0))
-    paid = rows.select("row_id", F.explode("p").alias("x")).select("row_id", F.lit(-1).alias("pos"), F.col("x.t").alias("token"), F.col("x.m").alias("mask"))
-    spread = told.unionByName(paid)
-    spread = spread.join(F.broadcast(common), "token", "left_anti")
-    inexact = spread.join(mapping, "token").groupBy("row_id").agg(F.collect_set(F.struct("pos", "known", "form", "mask")).alias("m"))
-    # exact tokens stand for themselves; whether they are names shows when they meet a student's
-    entry = lambda pos, known, mask: F.struct(pos.cast("int").alias("pos"), known.alias("known"), F.lit(EXACT).alias("form"), mask.cast("int").alias("mask"))
-    full = rows.join(inexact, "row_id", "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<pos:int,known:string,form:int,mask:int>>")))
-    told = F.concat(F.transform("w", lambda t, k: entry(k, t, F.lit(0))), F.filter("m", lambda x: x["pos"] >= 0))
-    payer = F.concat(F.transform("p", lambda x: entry(F.lit(-1), x["t"], x["m"])), F.filter("m", lambda x: x["pos"] < 0))
-    # an initial alone is a context only where no payer gives one
-    letters = F.filter(F.sequence(F.lit(0), F.lit(25)), lambda k: F.getbit("i", k) > 0)
-    single = F.when(F.size("p") == 0, F.transform(letters, lambda k: entry(F.lit(-2), F.char(k + 97), F.lit(0)))).otherwise(F.array().cast("array<struct<pos:int,known:string,form:int,mask:int>>"))
-    around = F.concat(F.col("told"), payer, single)
-    heads = full.withColumn("told", told).withColumn("around", around).select("row_id", F.explode("told").alias("h"), "around")
-    pairs = heads.select("row_id", "h", F.explode(F.filter("around", lambda x: (x["pos"] != F.col("h.pos")) | ((F.col("h.form") == SPLIT) & (x["form"] == SPLIT)))).alias("o")).where("h.known <> o.known")
-    pairs = pairs.select("row_id", _pair_key(F.col("h.known"), F.col("o.known")).alias("key"), F.col("h.pos").alias("pos"), F.col("h.form").alias("form"), F.col("o.pos").alias("where"), F.col("o.mask").alias("mask"))
-    found = pairs.join(keys, "key")
+    student. rows: (row_id, w, i, p, amount, row_level, collective).
+
+    Pairs of words as they are written are made where their row lies. Only rows with a word that may stand for
+    another one are moved, to meet what it stands for."""
+    frequent = cut_table(rows.select(F.explode(F.concat("w", "p.t")).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+    mapping = cut_table(token_map(frequent.select("token"), vocabulary))
+    # the commonest words, at most COMMON: whether they stand for others too, and whether they are names of children
+    common = frequent.orderBy(F.desc("n"), "token").limit(COMMON).select("token")
+    common = common.join(mapping.select("token").distinct().withColumn("loose", F.lit(True)), "token", "left").join(vocabulary, "token", "left")
+    common = cut(common.select("token", F.coalesce("loose", F.lit(False)).alias("loose"), F.coalesce("head", F.lit(False)).alias("head")))
+    named = _named(rows.select("row_id", "w", "p", "i"))
+    barren = F.broadcast(common.where("not head").select(F.col("token").alias("_t")))
+    heads = named.select("row_id", F.explode("told").alias("h"), "around")
+    heads = heads.join(barren, F.col("h.known") == F.col("_t"), "left_anti")
+    pairs = _paired(heads, F.filter("around", lambda x: x["pos"] != F.col("h.pos")))
+    # words that may stand for others, and their rows
+    told = rows.select("row_id", "w", "p", "i", F.posexplode("w").alias("pos", "token")).withColumn("mask", F.lit(0))
+    paid = rows.select("row_id", "w", "p", "i", F.explode("p").alias("x")).select("row_id", "w", "p", "i", F.lit(-1).alias("pos"), F.col("x.t").alias("token"), F.col("x.m").alias("mask"))
+    loose = told.unionByName(paid).join(F.broadcast(common.where("not loose").select("token")), "token", "left_anti")
+    stands = loose.select("row_id", "token", "pos", "mask").join(mapping, "token")
+    stands = stands.groupBy("row_id").agg(F.collect_set(F.struct("pos", "known", "form", "mask", "head")).alias("m"))
+    texts = loose.groupBy("row_id").agg(*(F.any_value(c).alias(c) for c in ("w", "p", "i")))
+    moved = _named(texts.join(stands, "row_id"))
+    plain = lambda x: _entry(x["pos"], x["known"], x["form"], x["mask"])
+    meant = moved.select(
+        "row_id", F.col("around").alias("exact"), F.concat("around", F.transform("m", plain)).alias("around"),
+        F.explode(F.concat("told", F.transform(F.filter("m", lambda x: (x["pos"] >= 0) & x["head"]), plain))).alias("h"),
+    )
+    apart = lambda x: (x["pos"] != F.col("h.pos")) | ((F.col("h.form") == SPLIT) & (x["form"] == SPLIT))
+    pairs = pairs.unionByName(_paired(meant, F.filter("around", lambda x: apart(x) & ((F.col("h.form") != EXACT) | (x["form"] != EXACT)))))
+    found = pairs.join(keys, "key").select(
+        "row_id", "student_id", "level", "total", "own", "m", "stands",
+        F.shiftright("place", 32).cast("int").alias("pos"), (F.col("place").bitwiseAND((1 << 32) - 1) - 2).cast("int").alias("where"),
+        F.shiftright("what", 16).cast("int").alias("mask"), F.col("what").bitwiseAND((1 << 16) - 1).cast("int").alias("form"),
+    )
     form = F.when(F.col("stands").bitwiseAND(ALIAS) > 0, ALIAS).otherwise(F.col("form"))
     # what the context stands for depends on where it was found
     kind = F.when(F.col("where") == -2, INITIAL).when(F.col("where") >= 0, SURNAME | OTHER).otherwise(GIVEN | FAMILY | OWN)
@@ -311,12 +349,13 @@ def votes(pairs: DataFrame, masks: int = 1) -> DataFrame:
 
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Confidence of each vote pattern, learnt from the counts and held by half (``ANCHOR``) to a hand-set score.
+    """Confidence of each vote pattern, learnt from the counts of all patterns.
 
     patterns: [n, functions] outcomes. A latent truth with class-conditional outcome tables is fitted by
-    expectation maximisation from a weak start (a surname, a guardian's name or a fitting amount speak for a
-    pair, their absence against it). Then the pair of functions with the largest mutual information given the
-    truth is joined into one factor and the fit is repeated, which models that correlation.
+    expectation maximisation. A weak score (a surname, a guardian's name or a fitting amount speak for a pair,
+    their absence against it) is the starting point only: it tells the fit which of the two classes is the true
+    one. Then functions that depend on each other given the truth, by ``DEPENDENT`` nats a pair or more, are
+    joined into factors of two, the most dependent first, and the fit is repeated, which models that correlation.
     """
     if not len(patterns):
         return np.zeros(0)
@@ -335,12 +374,11 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, steps: int = 200)
         sizes = [int(np.prod([OUTCOMES[j] for j in f])) for f in factors]
         codes = [np.ravel_multi_index([patterns[:, j] for j in f], [OUTCOMES[j] for j in f]) for f in factors]
         for _ in range(steps):
-            held = ANCHOR * start + (1 - ANCHOR) * truth
-            prior = np.clip((counts * held).sum() / counts.sum(), 1e-4, 1 - 1e-4)
+            prior = np.clip((counts * truth).sum() / counts.sum(), 1e-4, 1 - 1e-4)
             odds = np.full(n, np.log(prior / (1 - prior)))
             for size, code in zip(sizes, codes):
-                yes = np.bincount(code, counts * held, size) + 1.0
-                no = np.bincount(code, counts * (1 - held), size) + 1.0
+                yes = np.bincount(code, counts * truth, size) + 1.0
+                no = np.bincount(code, counts * (1 - truth), size) + 1.0
                 odds += np.log(yes / yes.sum())[code] - np.log(no / no.sum())[code]
             new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
             if np.abs(new - truth).max() < 1e-6:
@@ -359,18 +397,22 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, steps: int = 200)
             outer = p.sum(1, keepdims=True) * p.sum(0, keepdims=True)
             some = p > 0
             total += weight.sum() * (p[some] * np.log(p[some] / outer[some])).sum()
-        return total
+        return total / counts.sum()
 
-    i, j = max(itertools.combinations(range(k), 2), key=lambda x: dependence(*x))
-    return expectation([(i, j), *((m,) for m in range(k) if m not in (i, j))], truth)
+    single, factors = set(range(k)), []
+    for i, j in sorted(itertools.combinations(range(k), 2), key=lambda x: -dependence(*x)):
+        if i in single and j in single and dependence(i, j) >= DEPENDENT:
+            factors.append((i, j))
+            single -= {i, j}
+    return expectation([*factors, *((m,) for m in sorted(single))], truth)
 
 
 def collective_payers(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(who) of payers that name no family, by what they are called and whom their rows name, not by their share of
     the rows. words: (who, w, p), who being the payer's words in a fixed order; vocabulary: (token, name)."""
     known = vocabulary.where("name").select("token")
-    often = words.where("who <> ''").groupBy("who").agg(F.count("*").alias("n"), F.first("p.t").alias("t")).where(F.col("n") >= LEAST_COLLECTIVE)
-    often = cut_table(often.select("who", "t"))
+    often = words.where("who <> ''").groupBy("who").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COLLECTIVE)
+    often = cut_table(often.select("who", F.split("who", " ").alias("t")))
     called = cut_table(often.select("who", F.explode("t").alias("token")).join(known, "token", "left_semi").select("who").distinct())
     # those that are called by a name: the names in their rows without their own
     told = words.join(called, "who", "left_semi").select("who", F.explode(F.array_except("w", "p.t")).alias("token"))
@@ -408,9 +450,9 @@ def matches(statements: DataFrame, students: DataFrame, guardians: DataFrame, li
     patterns = np.array([[r[c] for c in names_] for r in table], int).reshape(-1, 6)
     posterior = fit_label_model(patterns, np.array([r.n for r in table], float))
     learnt = spark.createDataFrame([(*map(int, p), float(q)) for p, q in zip(patterns, posterior)], ", ".join(f"{c} int" for c in names_) + ", confidence double")
-    judged = voted.join(F.broadcast(learnt), names_)
+    judged = voted.join(F.broadcast(learnt), names_).where(F.col("confidence") >= CONFIDENT).repartition("row_id")
     # every mention of a child goes to the likeliest student; equal ones are left out
     place = Window.partitionBy("row_id", "mention").orderBy(F.desc("confidence"), F.desc("strength"))
-    ranked = judged.where(F.col("confidence") >= CONFIDENT).withColumn("rank", F.rank().over(place)).where("rank = 1")
+    ranked = judged.withColumn("rank", F.rank().over(place)).where("rank = 1")
     ranked = ranked.withColumn("equal", F.count("*").over(Window.partitionBy("row_id", "mention"))).where("equal = 1")
     return ranked.groupBy("row_id", "student_id").agg(F.max("confidence").alias("confidence"))
