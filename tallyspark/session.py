@@ -65,6 +65,16 @@ def cut_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_table(df: DataFrame, *parts: str) -> str:
+    """Writes ``df`` as a Parquet table in the shared folder, split into folders by the columns ``parts``, and gives its
+    path, for tasks that read a part of it themselves. Removed when the session's Python ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.partitionBy(*parts).parquet(path)
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
