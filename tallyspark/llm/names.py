@@ -131,8 +131,13 @@ def same_names(a: str | None, b: str | None) -> bool:
 def same_person(a: str | None, b: str | None) -> bool:
     """Whether two person names may be one person's: initials stand for names, titles do not matter, and not
     both have a part that the other lacks. Two missing names agree; a missing one and a given one do not."""
-    x = [fold(t) for t in _RUN.findall(plain(a)) if t not in TITLES]
-    y = [fold(t) for t in _RUN.findall(plain(b)) if t not in TITLES]
+    return same_words([fold(t) for t in _RUN.findall(plain(a)) if t not in TITLES], [fold(t) for t in _RUN.findall(plain(b)) if t not in TITLES])
+
+
+def same_words(x: list[str], y: list[str]) -> bool:
+    """``same_person`` for names whose words are known, without titles."""
+    if x == y:
+        return True
     if not x or not y:
         return not x and not y
     if "".join(sorted("".join(x))) == "".join(sorted("".join(y))):

@@ -39,9 +39,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
-    """(split, provenance, cases, in_train, pairs): overlaps per evaluation split and source."""
-    cases = _labelled(spark, folder)
-    return split_overlap.report(cases, split_overlap.overlaps(cases))
+    """(split, provenance, cases, in_train, pairs, covered): overlaps per evaluation split and source."""
+    return split_overlap.report(_labelled(spark, folder))
 
 
 def _matches(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """Evaluation cases that are also, exactly or almost, in training (problem 3).
 
-Method: Aho-Corasick automata over sharded, normalised evaluation passages scan the training texts. A case's
-passages are the words of its payer and student names (long words as two halves, so that a damaged word keeps
-one). Evaluation and training cases meet in the shards of their anchors: pairs of halves of two words of one
-name, and the bag of letters of all student names (the same for any order and spacing). A shard compiles one
-automaton from its evaluation passages and scans each of its training texts once; matched intervals are
-merged into the covered share of every evaluation case, and cases covered by at least ``COVERED`` are
-compared as wholes: payer, every student, and narration without collecting-group code.
-
-Cases that agree in all compared texts are one entry; the pairs of their members are made at the end. Anchors
-that only one side has are dropped before any text is moved, and an anchor with many cases is split into
-blocks on both sides, so no task holds an unbounded group. Defined results: a case whose split is neither
+Method: Aho-Corasick automata over sharded, normalised evaluation passages scan all training texts. A passage is a
+part of two words of one name side by side: the end of one with the beginning of another, both beginnings (the first
+one written backwards) or both ends, and the letters of all student names in order. A training text is written so
+that any two words of a name stand side by side in either order, and either of them backwards too; so a passage is
+found wherever its two parts occur, whatever the lengths of the words around them, and a damaged word keeps one part.
+
+The evaluation entries are dealt to shards by their number alone, at most about ``SHARD`` to one, and written to the
+shared folder. Every task scans its own part of the training texts in place, a shard's automaton after the other;
+training texts are not moved at all. A passage found names evaluation entries; the intervals of an entry's letters
+that the training text matches are merged into its coverage, and entries covered by at least ``COVERED`` (or whose
+student letters are all found) are compared as wholes: payer, every student, and narration without collecting-group code.
+
+Cases that agree in all texts are one entry; links are between entries, with a membership table, and pairs of cases
+are made from them only where the result is defined as pairs. Defined results: a case whose split is neither
 train nor an evaluation split takes no part; missing texts are empty ones, and cases without payer and
-students match nothing; repeated case numbers count once per text.
+students match nothing; repeated case numbers count once per text; texts of any length are read as a whole.
 """
 
 from __future__ import annotations
@@ -20,27 +23,32 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
-import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.llm import names
-from tallyspark.session import cut, cut_table
+from tallyspark.operators.skew import join_summaries
+from tallyspark.session import cut, cut_table, shared_table
 
 TRAIN, EVALUATION = "train", ("val", "test")
 #: Share of the letters of an evaluation case's names that a training text must cover to be compared.
 COVERED = 0.5
 #: Least likeness of two narrations of one record.
 LIKENESS = 0.65
-#: Cases of one anchor and side in a block; entries per shard, on average. Small shards keep chance hits of
-#: common name parts, which grow with the product of both sides of a shard, rare.
-BLOCK = 2_000
-SHARD_ROWS = 400
+#: Evaluation entries of a shard, whose automaton takes about 80 MB, and training entries that a task holds at once.
+SHARD = 20_000
+HELD = 50_000
+#: An evaluation name's words are paired with so many that follow in order, going round. A training text has all pairs.
+NEXT = 3
+#: Letters of a word's part at least; shorter words stand as they are.
+LEAST_PART = 3
 _CODE = re.compile(r"(?<![^\W_])[A-Za-z]{3}[\s./_-]?[0-9]{4}(?![^\W_])")
 _COURTESY = frozenset("thanks thank thx tnx pls please plz from mum dad mama papa via o ref app urgent god bless".split())
 
@@ -53,46 +61,53 @@ def words(text: str | None) -> list[str]:
     return [names.fold(t) for t in re.findall(r"[^\W_]+", names.plain(text))]
 
 
-def pieces(word: str) -> list[tuple[int, int]]:
-    """The spans of a word's passages: its halves, or the whole of a short word."""
-    half = len(word) // 2
-    return [(0, half), (half, len(word))] if len(word) >= 6 else [(0, len(word))]
+def parts(word: str) -> tuple[str, str]:
+    """A word's beginning and end; they overlap in short words."""
+    size = max(LEAST_PART, (len(word) + 1) // 2)
+    return word[:size], word[max(0, len(word) - size) :]
 
 
-def name_letters(payer: str | None, students: list[str | None]) -> tuple[str, list[tuple[int, int]]]:
-    """The letters of all names of a case in a row, and the spans of their passages in it."""
-    spans, at, row = [], 0, []
-    for w in sorted(words(" ".join(x or "" for x in students)) + words(payer)):
-        if len(w) > 2:
-            spans += [(at + a, at + z) for a, z in pieces(w)]
-            row.append(w)
-            at += len(w)
-    return "".join(row), spans
+def name_words(tokens: list[str]) -> list[str]:
+    """The words of a name that passages are made of, each once, in alphabetical order."""
+    return sorted({w for w in tokens if len(w) >= LEAST_PART})
 
 
-def anchors(payer: str | None, students: list[str | None]) -> list[str]:
-    """Keys under which a case can be met; see the module's description."""
+def _letters(students: list[list[str]]) -> str:
+    return "=" + "".join(sorted("".join(w for s in students for w in s))) + "|"
+
+
+def passages(payer: list[str], students: list[list[str]]) -> set[str]:
+    """The passages of an evaluation entry."""
     out = set()
     for name in [*students, payer]:
-        ws = sorted({w for w in words(name) if len(w) > 2 and w not in names.TITLES})
-        for i, one in enumerate(ws):
-            for other in ws[i + 1 :]:
-                for k, (a, z) in enumerate(pieces(one)):
-                    for m, (b, y) in enumerate(pieces(other)):
-                        out.add(f"{k}{one[a:z]} {m}{other[b:y]}")
-                        out.add(f"{m}{other[b:y]} {k}{one[a:z]}")
-    letters = "".join(sorted("".join(words(" ".join(x or "" for x in students)))))
-    if letters:
-        out.add("=" + letters)
-    return [a for a in out if a[0] == "=" or a.split(" ")[0] <= a.split(" ")[1]]
-
-
-def same_students(one: list[str | None], other: list[str | None]) -> bool:
-    left, right = [x for x in one if x and x.strip()], [x for x in other if x and x.strip()]
+        ws = name_words(name)
+        for i, x in enumerate(ws):
+            for k in range(1, min(NEXT, len(ws) - 1) + 1):
+                y = ws[(i + k) % len(ws)]
+                (begin, end), (start, stop) = parts(x), parts(y)
+                out.update((f"{end} {start}", f"{stop} {begin}", f"{begin[::-1]} {start}", f"{end} {stop[::-1]}"))
+    if any(students):
+        out.add(_letters(students))
+    return out
+
+
+def written(payer: list[str], students: list[list[str]]) -> Iterator[str]:
+    """The text of a training entry in which passages are looked for, in pieces: any two words of a name side by side."""
+    if any(students):
+        yield _letters(students)
+    for name in [*students, payer]:
+        ws = name_words(name)
+        for i, x in enumerate(ws):
+            back = x[::-1]
+            yield "|".join(f"{x} {y}|{back} {y}|{x} {y[::-1]}" for k, y in enumerate(ws) if k != i)
+
+
+def same_students(one: list[list[str]], other: list[list[str]]) -> bool:
+    left, right = [x for x in one if x], [x for x in other if x]
     if len(left) != len(right) or not left:
         return False
     for x in left:
-        best = next((y for y in right if names.same_person(x, y)), None)
+        best = next((y for y in right if names.same_words(x, y)), None)
         if best is None:
             return False
         right.remove(best)
@@ -110,9 +125,8 @@ def _lacks(one: list[str], other: list[str]) -> bool:
     )
 
 
-def same_narration(one: str | None, other: str | None) -> bool:
-    """The same text but for spelling, order, form, courtesies and the collecting-group code."""
-    x, y = words(_CODE.sub(" ", one or "")), words(_CODE.sub(" ", other or ""))
+def same_narration(x: list[str], y: list[str]) -> bool:
+    """The same text but for spelling, order, form and courtesies; the collecting-group code is left out already."""
     a, b = " ".join(sorted(t for t in x if t not in _COURTESY)), " ".join(sorted(t for t in y if t not in _COURTESY))
     if a == b:
         return True
@@ -123,53 +137,91 @@ def same_narration(one: str | None, other: str | None) -> bool:
 
 
 def same_record(a: tuple, b: tuple) -> bool:
-    """Whether two cases (payer, students, narration) are one record."""
-    return names.same_person(a[0], b[0]) and same_students(a[1], b[1]) and same_narration(a[2], b[2])
+    """Whether two cases (payer, students, narration) are one record; all as words."""
+    return names.same_words(a[0], b[0]) and same_students(a[1], b[1]) and same_narration(a[2], b[2])
+
+
+class Shard:
+    """The automaton of some evaluation entries. entries: (payer, students, narration) as words."""
+
+    def __init__(self, entries: list[tuple]):
+        self.entries = entries
+        numbers: dict[str, int] = {}
+        self.named: list[list[int]] = []
+        self.parts: list[list[tuple[str, int]]] = []
+        self.sizes: list[int] = []
+        for i, (payer, students, _) in enumerate(entries):
+            for passage in passages(payer, students):
+                k = numbers.setdefault(passage, len(numbers))
+                if k == len(self.named):
+                    self.named.append([])
+                self.named[k].append(i)
+            own, at = [], 0
+            for w in [w for s in students for w in s] + payer:
+                if len(w) >= LEAST_PART:
+                    begin, end = parts(w)
+                    own += [(begin, ((1 << len(begin)) - 1) << at), (end, ((1 << len(end)) - 1) << (at + len(w) - len(end)))]
+                    at += len(w)
+            self.parts.append(own)
+            self.sizes.append(at)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for passage, k in numbers.items():
+            self.automaton.add_word(passage, k)
+        if numbers:
+            self.automaton.make_automaton()
+
+    def scan(self, training: list[tuple]) -> Iterator[tuple[int, int, float]]:
+        """(evaluation position, training position, covered share) of the same records."""
+        if not self.named:
+            return
+        for j, (payer, students, narration) in enumerate(training):
+            met: set[int] = set()
+            whole: set[int] = set()
+            for text in written(payer, students):
+                for _, k in self.automaton.iter(text):
+                    (whole if text[0] == "=" else met).update(self.named[k])
+            if not met and not whole:
+                continue
+            text = " ".join([w for s in students for w in s] + payer + narration)
+            for i in met | whole:
+                letters = 0
+                for part, where in self.parts[i]:
+                    if part in text:
+                        letters |= where
+                covered = 1.0 if i in whole and not self.sizes[i] else letters.bit_count() / max(1, self.sizes[i])
+                if (covered >= COVERED or i in whole) and same_record(self.entries[i], training[j]):
+                    yield i, j, covered
 
 
 def scan(evaluation: list[tuple], training: list[tuple]) -> Iterator[tuple[int, int]]:
-    """(evaluation position, training position) of the same records; both lists hold (payer, students, narration)."""
-    passages: dict[str, list[tuple[int, int, int]]] = {}
-    totals = []
-    for i, (payer, students, _) in enumerate(evaluation):
-        letters, spans = name_letters(payer, students)
-        totals.append(len(letters))
-        for a, z in spans:
-            passages.setdefault(letters[a:z], []).append((i, a, z))
-    if not passages:
-        return
-    automaton = ahocorasick.Automaton()
-    for passage, where in passages.items():
-        automaton.add_word(passage, where)
-    automaton.make_automaton()
-    for j, (payer, students, narration) in enumerate(training):
-        covered: dict[int, list[tuple[int, int]]] = {}
-        seen = set()
-        for _, where in automaton.iter(" ".join(words(" ".join(x or "" for x in students)) + words(payer) + words(narration))):
-            if id(where) not in seen:
-                seen.add(id(where))
-                for i, a, z in where:
-                    covered.setdefault(i, []).append((a, z))
-        for i, spans in covered.items():
-            if sum(z - a for a, z in spans) < COVERED * totals[i]:
-                continue
-            end = length = 0
-            for a, z in sorted(spans):
-                length += max(0, z - max(a, end))
-                end = max(end, z)
-            if length >= COVERED * totals[i] and same_record(evaluation[i], training[j]):
-                yield i, j
+    """(evaluation position, training position) of the same records; both lists hold (payer, students, narration) as
+    texts."""
+    form = lambda x: (person(x[0]), [person(s) for s in x[1]], purpose(x[2]))
+    for i, j, _ in Shard([form(x) for x in evaluation]).scan([form(x) for x in training]):
+        yield i, j
+
 
+def person(name: str | None) -> list[str]:
+    return [w for w in words(name) if w not in names.TITLES]
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _anchor_keys(payers: pa.Array, students: pa.Array) -> pa.Array:
-    from xxhash import xxh3_64_intdigest
 
-    rows = zip(payers.to_pylist(), students.to_pylist())
-    return pa.array([[xxh3_64_intdigest(a) - (1 << 63) for a in anchors(p, s or [])] for p, s in rows], pa.list_(pa.int64()))
+def purpose(narration: str | None) -> list[str]:
+    return words(_CODE.sub(" ", narration or ""))
 
 
-_anchor_keys = _anchor_keys.asNondeterministic()  # run once, also under filters
+_FORM = T.StructType([T.StructField("p", T.ArrayType(T.StringType())), T.StructField("s", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("n", T.ArrayType(T.StringType()))])
+
+
+@F.arrow_udf(_FORM)
+def _form(payers: pa.Array, students: pa.Array, narrations: pa.Array) -> pa.Array:
+    p = pa.array([person(x) for x in payers.to_pylist()], pa.list_(pa.string()))
+    s = pa.array([[person(x) for x in several or []] for several in students.to_pylist()], pa.list_(pa.list_(pa.string())))
+    n = pa.array([purpose(x) for x in narrations.to_pylist()], pa.list_(pa.string()))
+    return pa.StructArray.from_arrays([p, s, n], ["p", "s", "n"])
+
+
+_form = _form.asNondeterministic()  # run once, also under filters
+_TEXTS = ("side", "payer", "students", "narration")
 
 
 def _texts(cases: DataFrame) -> DataFrame:
@@ -184,56 +236,81 @@ def _texts(cases: DataFrame) -> DataFrame:
     ).where("side is not null")
 
 
-def _shard(entries: pd.DataFrame) -> pd.DataFrame:
-    """(e, t): the same records among the evaluation and training entries of one shard."""
-    held = []
-    for side in (1, 0):
-        own = entries[entries["side"] == side]
-        held.append((own["entry"].to_numpy(), list(zip(own["payer"], [list(x) for x in own["students"]], own["narration"]))))
-    (e, evaluation), (t, training) = held
-    found = list(scan(evaluation, training)) if len(e) and len(t) else []
-    return pd.DataFrame({"e": [e[i] for i, _ in found], "t": [t[j] for _, j in found]}, dtype=np.int64)
+def entries_of(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, members). entries: one row per different texts, known by their smallest case: (entry, side, p, s, n),
+    the texts as words. members: (case_no, side, entry) of every case. Texts are told apart by 128 bits of a digest."""
+    digest = F.unhex(F.md5(F.to_json(F.struct(*_TEXTS))))
+    texts = _texts(cases).withColumn("_d", digest)
+    grouped = texts.groupBy("_d").agg(F.min("case_no").alias("entry"), F.count("*").alias("_n"), *(F.any_value(c).alias(c) for c in _TEXTS))
+    grouped = cut_table(grouped.withColumn("x", _form("payer", "students", "narration")).select("_d", "_n", "entry", "side", "x.p", "x.s", "x.n"))
+    alone = grouped.where("_n = 1").select(F.col("entry").alias("case_no"), "side", "entry")
+    several = cut(grouped.where("_n > 1").select("_d", "_n", "entry"))
+    shared = join_summaries(texts.select("case_no", "side", "_d"), several, ["_d"], "_n").select("case_no", "side", "entry").distinct()
+    return grouped.select("entry", "side", "p", "s", "n"), alone.unionByName(shared)
+
+
+@lru_cache(maxsize=2)
+def _shard(path: str, number: int) -> tuple[list[int], Shard]:
+    """A shard's entry numbers and automaton, read from the shared folder; a worker keeps the last two."""
+    files, folder = pyarrow.fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pyarrow.fs.LocalFileSystem(), path)
+    table = pyarrow.dataset.dataset(f"{folder}/shard={number}", files, format="parquet").to_table(["entry", "p", "s", "n"]).sort_by("entry")
+    return table["entry"].to_pylist(), Shard(list(zip(*(table[c].to_pylist() for c in "psn"))))
+
+
+def links(entries: DataFrame) -> DataFrame:
+    """(e, t, covered): evaluation and training entries that are the same record, each pair once."""
+    evaluation = entries.where("side = 1")
+    shards = -(-evaluation.count() // SHARD)
+    path = shared_table(evaluation.withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(max(1, shards))).cast("int")).repartition(max(1, shards), "shard"), "shard")
+    filled = [r.shard for r in evaluation.sparkSession.read.parquet(path).select("shard").distinct().orderBy("shard").collect()] if shards else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(numbers: list[int], training: list[tuple]) -> pa.RecordBatch:
+            e, t, c = [], [], []
+            for shard in filled:
+                entry, automaton = _shard(path, shard)
+                for i, j, covered in automaton.scan(training):
+                    e.append(entry[i])
+                    t.append(numbers[j])
+                    c.append(covered)
+            return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(t, pa.int64()), pa.array(c, pa.float64())], ["e", "t", "covered"])
+
+        numbers: list[int] = []
+        training: list[tuple] = []
+        for batch in batches:
+            numbers += batch["entry"].to_pylist()
+            training += zip(*(batch[c].to_pylist() for c in "psn"))
+            if len(numbers) >= HELD:
+                yield found(numbers, training)
+                numbers, training = [], []
+        if numbers:
+            yield found(numbers, training)
+
+    return entries.where("side = 0").select(F.col("entry").cast("bigint").alias("entry"), "p", "s", "n").mapInArrow(run, "e bigint, t bigint, covered double")
 
 
 def overlaps(cases: DataFrame) -> DataFrame:
-    """(case_no_a, case_no_b): the smaller and the larger case number of every such pair."""
-    texts = ["side", "payer", "students", "narration"]
-    members = cut_table(_texts(cases).withColumn("_h", F.xxhash64(*texts)))
-    entries = cut_table(
-        members.groupBy("_h", *texts).agg(F.min("case_no").alias("entry")).withColumn("keys", _anchor_keys("payer", "students"))
-    )
-    keyed = entries.select("entry", "side", F.explode("keys").alias("key"))
-    sides = keyed.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("n_t"), F.count_if(F.col("side") == 1).alias("n_e"))
-    sides = sides.where("n_t > 0 and n_e > 0").select(
-        "key", F.ceil(F.col("n_t") / BLOCK).cast("int").alias("b_t"), F.ceil(F.col("n_e") / BLOCK).cast("int").alias("b_e")
-    )
-    met = cut(keyed.join(sides, "key"))
-    shards = max(1, met.count() // SHARD_ROWS + 1)
-    own = F.pmod(F.xxhash64("entry"), F.when(F.col("side") == 0, F.col("b_t")).otherwise(F.col("b_e")))
-    others = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("b_e")).otherwise(F.col("b_t")) - 1)
-    placed = met.select("entry", "side", "key", own.alias("own"), F.explode(others).alias("other"))
-    block = F.when(F.col("side") == 0, F.struct("key", F.col("own").alias("t"), F.col("other").cast("bigint").alias("e"))).otherwise(
-        F.struct("key", F.col("other").cast("bigint").alias("t"), F.col("own").alias("e"))
-    )
-    routed = placed.select("entry", F.pmod(F.xxhash64(block), F.lit(shards)).alias("shard")).distinct()
-    full = routed.join(entries.select("entry", *texts), "entry")
-    pairs = full.groupBy("shard").applyInPandas(_shard, "e bigint, t bigint").distinct()
-    # from entries to all their cases
-    home = members.join(entries.select("_h", *(F.col(c).alias(f"_{c}") for c in texts), "entry"), "_h")
-    for c in texts:
-        home = home.where(F.col(c) == F.col(f"_{c}"))
-    home = home.select("case_no", "entry")
-    out = pairs.join(home.select(F.col("case_no").alias("x"), F.col("entry").alias("e")), "e")
-    out = out.join(home.select(F.col("case_no").alias("y"), F.col("entry").alias("t")), "t").distinct()
+    """(case_no_a, case_no_b): the smaller and the larger case number of every such pair. The pairs of copies are made
+    here, where the result is defined as pairs."""
+    entries, members = entries_of(cases)
+    found = cut(links(entries))
+    out = found.join(members.where("side = 1").select(F.col("case_no").alias("x"), F.col("entry").alias("e")), "e")
+    out = out.join(members.where("side = 0").select(F.col("case_no").alias("y"), F.col("entry").alias("t")), "t")
     return out.select(F.least("x", "y").alias("case_no_a"), F.greatest("x", "y").alias("case_no_b"))
 
 
-def report(cases: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(split, provenance, cases, in_train, pairs) of the evaluation splits."""
-    pairs = cut(pairs)
-    found = pairs.select(F.col("case_no_a").alias("case_no")).unionByName(pairs.select(F.col("case_no_b").alias("case_no")))
-    counts = found.groupBy("case_no").agg(F.count("*").alias("n"))
-    known = cases.where(F.col("split").isin(*EVALUATION)).select("case_no", "split", "provenance").join(counts, "case_no", "left")
+def report(cases: DataFrame) -> DataFrame:
+    """(split, provenance, cases, in_train, pairs, covered) of the evaluation splits: cases, those that are in
+    training too, pairs with training cases, and the mean coverage of the former by the training text that covers most.
+    Counted from entries and their numbers of members; no pairs of copies are made."""
+    entries, members = entries_of(cases)
+    found = cut(links(entries))
+    copies = members.where("side = 0").groupBy(F.col("entry").alias("t")).agg(F.count("*").alias("k"))
+    summed = found.join(copies, "t").groupBy(F.col("e").alias("entry")).agg(F.sum("k").alias("n"), F.max("covered").alias("best"))
+    sizes = members.where("side = 1").groupBy("entry").agg(F.count("*").alias("_n"))
+    summed = cut(summed.join(sizes, "entry"))
+    met = join_summaries(members.where("side = 1").select("case_no", "entry"), summed, ["entry"], "_n").select("case_no", "n", "best")
+    known = cases.where(F.col("split").isin(*EVALUATION)).select("case_no", "split", "provenance").join(met, "case_no", "left")
     return known.groupBy("split", "provenance").agg(
-        F.count("*").alias("cases"), F.count("n").alias("in_train"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")
+        F.count("*").alias("cases"), F.count("n").alias("in_train"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.round(F.avg("best"), 6).alias("covered")
     )

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyspark.llm import entity_links, names, page_spam, split_overlap
@@ -31,15 +32,16 @@ def test_copies_give_all_pairs_of_members(spark):
     same = ("Ada Obinna", ["Chidi Obinna"], "fees Chidi")
     rows = [(k, "train", *same) for k in range(20)] + [(k, "test", *same) for k in range(20, 25)]
     assert found(spark, *rows) == {(a, b) for a in range(20) for b in range(20, 25)}
-    rep = split_overlap.report(cases(spark, *rows), split_overlap.overlaps(cases(spark, *rows))).first()
-    assert (rep.cases, rep.in_train, rep.pairs) == (5, 5, 100)
+    rep = split_overlap.report(cases(spark, *rows)).first()
+    assert (rep.cases, rep.in_train, rep.pairs, rep.covered) == (5, 5, 100, 1.0)
 
 
 def test_scan_equals_comparing_all(spark):
     people = ["Chidi Obinna", "Chidi Obina", "Ngozi Obinna", "Zainab Bello", "Zainab Belo", "Bello Zainab", "Musa Danladi"]
     records = [(p, [s], f"fees for {s}") for p, s in itertools.product(people, people)]
     got = set(split_overlap.scan(records, records))
-    assert got == {(i, j) for i, a in enumerate(records) for j, b in enumerate(records) if split_overlap.same_record(a, b)}
+    form = lambda x: (split_overlap.person(x[0]), [split_overlap.person(y) for y in x[1]], split_overlap.purpose(x[2]))
+    assert got == {(i, j) for i, a in enumerate(records) for j, b in enumerate(records) if split_overlap.same_record(form(a), form(b))}
 
 
 @pytest.mark.parametrize("a, b, same", [("Ada Obi", "OBI, ADA", True), ("A. Obi", "Ada Obi", True), ("Ada Obi", "Uche Obi", False), (None, "", True), ("Ada", None, False), ("Dr Ada Obi", "Ada Obbi", True)])
@@ -153,7 +155,7 @@ PROSE = "Please credit the money I sent on Monday to the account of my child, wh
     ],
 )
 def test_spam(text, spam):
-    assert page_spam.is_spam(page_spam.measures(text)) is spam
+    assert page_spam.is_spam(text) is spam
 
 
 def test_spam_table(spark):
@@ -179,7 +181,7 @@ KEYWORDS = "lamp bag shoe cardigan beret sandal pinafore uniform bottle pencil r
     ],
 )
 def test_spam_repeats_at_any_distance(text, spam):
-    assert page_spam.is_spam(page_spam.measures(text)) is spam
+    assert page_spam.is_spam(text) is spam
 
 
 GOODS = "\n".join(f"{a.title()} {b} ₦{n},{n * 7 % 9}50 {c}" for n, (a, b, c) in enumerate(zip(KEYWORDS[:10], KEYWORDS[10:], itertools.cycle(("Buy", "SALE", "In stock", "SKU5519", "Add to cart", "SKU921"))), 1))
@@ -202,4 +204,33 @@ PEOPLE = "Ada Bello,Chidi Nwosu,Zainab Musa,Tunde Ojo,Emeka Eze,Bisi Alabi,Ngozi
     ],
 )
 def test_spam_of_distinct_nouns(text, spam):
-    assert page_spam.is_spam(page_spam.measures(text)) is spam
+    assert page_spam.is_spam(text) is spam
+
+
+REGISTERS = {
+    "numbered": lambda r, name, k: f"{k + 1}. {name()} {r.choice(['JSS 1', 'SS 3'])}",
+    "class": lambda r, name, k: f"{name()}, {r.choice(['JSS 1', 'SS 3'])}",
+    "names": lambda r, name, k: name(),
+    "present": lambda r, name, k: f"{name()} present",
+    "extract": lambda r, name, k: f"2024-0{r.randint(1, 9)}-{r.randint(10, 28)} {name()} school fees {r.randint(5, 90)},000.00 CR",
+    "schedule": lambda r, name, k: f"{r.choice(['Tuition', 'Books', 'Uniform', 'Exam'])} {r.choice(['JSS 1', 'SS 3'])}: ₦{r.randint(5, 90)},{r.randint(1, 9)}00",
+    "timetable": lambda r, name, k: f"{8 + k % 6}:00 {r.choice(['Maths', 'English', 'Civic'])} Mr {name().split()[1]}",
+}
+
+
+@pytest.mark.parametrize("lines", [6, 12, 25, 50, 100, 300])
+@pytest.mark.parametrize("kind", sorted(REGISTERS))
+def test_registers_of_any_length_are_no_spam(kind, lines):
+    import random
+
+    r = random.Random(lines)
+    first, last = "Ada Chidi Ngozi Emeka Zainab Tunde Amina Bisola Kelechi Musa Uche Ife Sade Bola Hauwa Garba Obi Nneka Femi Yusuf Halima Dayo Eze Ify Tope".split(), "Obinna Bello Adewale Danladi Nwosu Okafor Balogun Sani Ibrahim Ojo Ademola Nnamdi Lawal Umar".split()
+    text = "Office copy\n" + "\n".join(REGISTERS[kind](r, lambda: f"{r.choice(first)} {r.choice(last)}", k) for k in range(lines))
+    assert page_spam.is_spam(text) is False
+
+
+def test_equal_texts_get_equal_results_in_any_batch():
+    texts = [GOODS, PROSE, None, "", "Register\n" + "\n".join(PEOPLE), " ".join(KEYWORDS * 6)]
+    alone = [page_spam.is_spam(x) for x in texts]
+    together = page_spam.decide(page_spam.figures(pa.array(texts * 3, pa.string())))
+    assert list(together) == alone * 3 and len(page_spam.decide(page_spam.figures(pa.array([], pa.string())))) == 0
