@@ -191,13 +191,14 @@ def figures(texts: pa.Array) -> dict[str, np.ndarray]:
     priced = t.number[last] & (words > 0) if units else np.zeros(0, bool)
     real = words - links
     sentence = ended & (real >= SENTENCE_WORDS) & (function >= SENTENCE_FUNCTION_SHARE * real) & (function >= 3 * links) & (tags < real / 2)
-    # what a unit says: a digest of its terms in order, and of all but leading numbers
+    # what a unit says: a digest of its terms in order, and of all but its number
     weight = np.random.default_rng(20_240_601).integers(1, 1 << 62, int(t.code.max()) + 1 if len(t.code) else 1, dtype=np.int64).view(np.uint64) * 2 + 1
     place = np.arange(len(unit)) - start[unit] if units else np.zeros(0, int)
     behind = np.cumsum(term) - np.cumsum(term)[start][unit] + term[start][unit] if units else place  # terms so far
     said = lambda keep, rank: _hashed(unit, units, np.where(keep, weight[t.code] * (2 * rank.astype(np.uint64) + 1), 0))
     spoken = said(term, behind)
-    entry = said(term | (t.number & (behind > 0)), place - np.where(leads, 1, 0)[unit] if units else place)
+    dates = total(t.number & (behind == 0)) >= 2  # a date or a time leads, not the number of an entry
+    entry = said(term | (t.number & ((behind > 0) | dates[unit])), place - np.where(leads, 1, 0)[unit] if units else place)
     some = words > 0
     record = some & (links == 0) & (tags == 0) & (numbered | (priced & (words <= ENTRY_WORDS)) | ((words >= 2) & (words <= NAME_WORDS) & named))
     single = np.zeros(units, bool)

@@ -252,8 +252,9 @@ def entries_of(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
 @lru_cache(maxsize=2)
 def _shard(path: str, number: int) -> tuple[list[int], Shard]:
     """A shard's entry numbers and automaton, read from the shared folder; a worker keeps the last two."""
+    path = re.sub("^file:/+", "/", path)
     files, folder = pyarrow.fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pyarrow.fs.LocalFileSystem(), path)
-    table = pyarrow.dataset.dataset(f"{folder}/shard={number}", files, format="parquet").to_table(["entry", "p", "s", "n"]).sort_by("entry")
+    table = pyarrow.dataset.dataset(f"{folder}/shard={number}", filesystem=files, format="parquet").to_table(["entry", "p", "s", "n"]).sort_by("entry")
     return table["entry"].to_pylist(), Shard(list(zip(*(table[c].to_pylist() for c in "psn"))))
 
 
