@@ -33,11 +33,20 @@ def plain(text: str | None) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c)).replace("'", "").replace("’", "")
 
 
+@lru_cache(maxsize=500_000)
+def _letters(token: str) -> int:
+    """The characters that occur, as bits; an edit changes two of them at most."""
+    bits = 0
+    for c in token:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edit distance with adjacent transpositions as one edit, or most + 1 if it is larger."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:
         return most + 1
     if len(a) > len(b):
         a, b = b, a

@@ -148,27 +148,31 @@ class Shard:
         self.entries = entries
         numbers: dict[str, int] = {}
         self.named: list[list[int]] = []
-        self.parts: list[list[tuple[str, int]]] = []
-        self.sizes: list[int] = []
+        self._letters: dict[int, tuple[list[tuple[str, int]], int]] = {}
         for i, (payer, students, _) in enumerate(entries):
             for passage in passages(payer, students):
                 k = numbers.setdefault(passage, len(numbers))
                 if k == len(self.named):
                     self.named.append([])
                 self.named[k].append(i)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for passage, k in numbers.items():
+            self.automaton.add_word(passage, k)
+        if numbers:
+            self.automaton.make_automaton()
+
+    def letters(self, i: int) -> tuple[list[tuple[str, int]], int]:
+        """The parts of an entry's words, each with the places of its letters as bits, and the number of letters."""
+        if i not in self._letters:
+            payer, students, _ = self.entries[i]
             own, at = [], 0
             for w in [w for s in students for w in s] + payer:
                 if len(w) >= LEAST_PART:
                     begin, end = parts(w)
                     own += [(begin, ((1 << len(begin)) - 1) << at), (end, ((1 << len(end)) - 1) << (at + len(w) - len(end)))]
                     at += len(w)
-            self.parts.append(own)
-            self.sizes.append(at)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for passage, k in numbers.items():
-            self.automaton.add_word(passage, k)
-        if numbers:
-            self.automaton.make_automaton()
+            self._letters[i] = own, at
+        return self._letters[i]
 
     def scan(self, training: list[tuple]) -> Iterator[tuple[int, int, float]]:
         """(evaluation position, training position, covered share) of the same records."""
@@ -184,11 +188,12 @@ class Shard:
                 continue
             text = " ".join([w for s in students for w in s] + payer + narration)
             for i in met | whole:
-                letters = 0
-                for part, where in self.parts[i]:
+                own, size = self.letters(i)
+                found = 0
+                for part, where in own:
                     if part in text:
-                        letters |= where
-                covered = 1.0 if i in whole and not self.sizes[i] else letters.bit_count() / max(1, self.sizes[i])
+                        found |= where
+                covered = 1.0 if i in whole and not size else found.bit_count() / max(1, size)
                 if (covered >= COVERED or i in whole) and same_record(self.entries[i], training[j]):
                     yield i, j, covered
 
