@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Titles that a person's name is compared without.
-TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "chief", "alhaji", "alhaja")
+TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "chief", "alhaji", "mallam")
 #: The token estimate of a text is ceil(length / 3) plus its non-ASCII characters plus this.
 TOKEN_OVERHEAD = 8
 
@@ -76,10 +76,10 @@ def has_marker(text: Column, markers: tuple[str, ...]) -> Column:
 
 
 def dedup_hash(reference: Column, source: Column, occurrence: Column, date: Column, amount: Column, payer: Column, narration: Column) -> Column:
-    """24 hex digits: of the canonical reference if there is one, else of the row's content and its
-    occurrence number within the file, so that two equal rows of one file stay apart."""
+    """24 hex digits: of the canonical reference if there is one, else of the row's content, with the payer's name
+    normalised, and its occurrence number within the file, so that two equal rows of one file stay apart."""
     blank = lambda c: F.coalesce(c, F.lit(""))
-    row = F.concat_ws("|", F.lit("ROW"), blank(source), occurrence.cast("string"), blank(date), blank(amount), blank(payer), F.array_join(tokens(narration), " "))
+    row = F.concat_ws("|", F.lit("ROW"), blank(source), occurrence.cast("string"), blank(date), blank(amount), normalize_name(payer), F.array_join(tokens(narration), " "))
     basis = F.when(reference.isNotNull(), F.concat(F.lit("REF:"), reference)).otherwise(row)
     return F.substring(F.sha2(basis, 256), 1, 24)
 
@@ -114,3 +114,35 @@ def initials(name: Column) -> Column:
     words = _kept(F.split(F.trim(name), " +"))
     head = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: F.concat(F.substring(w, 1, 1), F.lit(".")))
     return F.array_join(F.concat(head, F.slice(words, -1, 1)), " ")
+
+
+def nickname(name: Column) -> Column:
+    """The first three letters of a first name."""
+    return F.substring(F.coalesce(F.get(_kept(F.split(F.trim(name), " +")), F.lit(0)), F.lit("")), 1, 3)
+
+
+def name_variant(seed: str, key: Column, name: Column) -> Column:
+    """A name written otherwise, chosen by a digest of the key: initials only, two letters exchanged, or the first name."""
+    words = _kept(F.split(F.trim(name), " +"))
+    pick = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), 1, 8), 16, 10).cast("bigint") % 3
+    swapped = F.concat(F.substring(name, 1, 2), F.substring(name, 4, 1), F.substring(name, 3, 1), F.substr(name, F.lit(5)))
+    return F.when(pick == 0, F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ".")).when((pick == 1) & (F.char_length(name) > 4), swapped).otherwise(F.coalesce(F.get(words, F.lit(0)), F.lit("")))
+
+
+def pidgin(names: Column) -> Column:
+    return F.concat(F.lit("abeg na "), names, F.lit(" school fee be dis"))
+
+
+def injected(narration: Column, payload: Column) -> Column:
+    """A narration that carries an instruction. It stays data: nothing reads it as anything but text."""
+    return F.concat_ws(" ", narration, payload)
+
+
+def choice_label(text: Column) -> Column:
+    """A to D of a number from 0 to 3 or of such a letter; null for anything else."""
+    return F.coalesce(F.get(F.array(*map(F.lit, "ABCD")), text.try_cast("int")), F.when(F.upper(F.trim(text)).rlike("^[A-D]$"), F.upper(F.trim(text))))
+
+
+def prefixed(fields: Column, prefix: str) -> Column:
+    """Of a map of form fields those whose name begins with the prefix, without it."""
+    return F.transform_keys(F.map_filter(fields, lambda k, v: F.startswith(k, F.lit(prefix))), lambda k, v: F.substr(k, F.lit(len(prefix) + 1)))

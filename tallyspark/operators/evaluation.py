@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import seeded_hash, sigmoid
+from tallyspark.session import cut
 
 
 def rate(flag: Column) -> Column:
@@ -47,12 +48,64 @@ def rubric(scores: DataFrame, key: DataFrame, most: int) -> DataFrame:
 
 
 def blind_packet(outputs: DataFrame, seed: str) -> DataFrame:
-    """(review_id, output_id): reproducible shuffled ids that tell nothing about the model."""
-    from pyspark.sql.window import Window
-
-    return outputs.select("output_id", F.row_number().over(Window.orderBy(seeded_hash(seed, F.col("output_id")))).alias("n")).select(
-        F.concat(F.lit("blind-"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("review_id"), "output_id"
-    )
+    """(review_id, output_id): reproducible shuffled ids that tell nothing about the model, from blind-0001 on. Places are counted
+    over a range partitioning of the digests, so the outputs are never in one task."""
+    hashed = outputs.select("output_id", seeded_hash(seed, F.col("output_id")).alias("h")).repartitionByRange("h").sortWithinPartitions("h")
+    placed = cut(hashed.withColumns({"p": F.spark_partition_id(), "m": F.monotonically_increasing_id()}))
+    starts, at = [], 0
+    for r in placed.groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect():  # one row per partition
+        starts.append((r.p, at))
+        at += r.n
+    offsets = outputs.sparkSession.createDataFrame(starts or [(0, 0)], "p int, s bigint")
+    number = F.col("s") + F.col("m") - F.col("p").cast("bigint") * (1 << 33) + 1
+    text = F.when(number < 10_000, F.lpad(number.cast("string"), 4, "0")).otherwise(number.cast("string"))
+    return placed.join(F.broadcast(offsets), "p").select(F.concat(F.lit("blind-"), text).alias("review_id"), "output_id")
+
+
+def side_by_side(one: DataFrame, other: DataFrame, *columns: str) -> DataFrame:
+    """The columns of two runs' records next to each other, of the cases both have."""
+    name = lambda df, tag: df.select("case_id", *(F.col(c).alias(f"{tag}_{c}") for c in columns))
+    return name(one, "a").join(name(other, "b"), "case_id")
+
+
+def regression_points(before: Column, after: Column) -> Column:
+    """How many points of a hundred a rate fell; never its absolute value."""
+    return F.round(100 * (before - after), 6)
+
+
+def stress_summary(records: DataFrame) -> DataFrame:
+    """One row of counts over distinct inputs and whether they pass: 99.5 % valid answers and nothing else wrong.
+    records: (valid_json, unsupported_id, thinking_leak, transport, wrong_auto)."""
+    kinds = ("unsupported_id", "thinking_leak", "transport", "wrong_auto")
+    one = records.agg(F.count("*").alias("inputs"), F.count_if("valid_json").alias("valid_json"), *(F.count_if(F.coalesce(k, F.lit(False))).alias(k) for k in kinds))
+    rate_ = F.col("valid_json") / F.col("inputs")
+    passes = (rate_ >= 0.995) & (sum((F.col(k) for k in kinds), F.lit(0)) == 0)
+    return one.select("*", F.round(rate_, 6).alias("valid_rate"), F.coalesce(passes, F.lit(False)).alias("passes"))
+
+
+def release_decision(scores: DataFrame) -> DataFrame:
+    """(ship, retry, gates): what to ship after a fine-tuning, from one row of measures: zero_gold, gold, zero_proxy, proxy, zero_bare,
+    bare, merged_gold (or null), valid_json_rate, unsupported_ids, thinking_leaks, wrong_auto, stress_passed, gates_failed."""
+    c = F.col
+    loss = 100 * (c("merged_gold") - c("gold"))
+    rules = {
+        "gold_improved": c("gold") > c("zero_gold"), "enterprise_regression": 100 * (c("zero_proxy") - c("proxy")) <= 2, "bare_regression": c("zero_bare") - c("bare") <= 5,
+        "valid_json": F.coalesce("valid_json_rate", F.lit(0.0)) >= 0.995, "unsupported_ids": c("unsupported_ids") == 0, "thinking_leaks": c("thinking_leaks") == 0, "incorrect_auto_posts": c("wrong_auto") == 0,
+        "stress_passed": c("stress_passed"), "safety_gates": c("gates_failed") == 0, "merged_loss": loss.isNull() | (loss <= 3),
+    }
+    failed = F.array_compact(F.array(*(F.when(~F.coalesce(kept, F.lit(False)), F.lit(name)) for name, kept in rules.items())))
+    incomplete = F.greatest(*(c(x).isNull() for x in ("zero_gold", "gold", "zero_proxy", "proxy")))
+    ship = F.when(incomplete, "incomplete").when(loss > 3, "finer_quantisation").when(F.size(failed) == 0, "fine_tuned").otherwise("zero_shot")
+    return scores.select(ship.alias("ship"), F.coalesce(100 * (c("zero_proxy") - c("proxy")) > 2, F.lit(False)).alias("retry"), F.array_join(failed, ",").alias("failed"))
+
+
+def authored_problems(cases: DataFrame, total: int, languages: dict[str, int], abstentions: int, per_family: int) -> DataFrame:
+    """(rule, expected, found) of a case set that is not as it was to be authored. cases: (language, family, abstains)."""
+    whole = cases.agg(F.count("*").alias("n"), F.count_if("abstains").alias("a"), *(F.count_if(F.col("language") == k).alias(f"l_{k}") for k in languages))
+    rules = [("total", total, F.col("n")), ("abstentions", abstentions, F.col("a")), *((f"language {k}", v, F.col(f"l_{k}")) for k, v in languages.items())]
+    rows = whole.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(v).cast("bigint").alias("expected"), f.alias("found")) for r, v, f in rules))).alias("x")).select("x.*")
+    each = cases.where("family is not null").groupBy("family").agg(F.count("*").alias("found")).select(F.concat(F.lit("family "), "family").alias("rule"), F.lit(per_family).cast("bigint").alias("expected"), "found")
+    return rows.unionByName(each).where("expected <> found")
 
 
 def standardisation(rows: DataFrame, *features: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.session import cut
+
 #: The kinds of ledger events.
 KINDS = ("charge_created", "allocation", "reversal", "credit_grant", "credit_application")
 
@@ -80,30 +82,83 @@ def payer_history(ledger: DataFrame, transactions: DataFrame) -> DataFrame:
     return paid.join(transactions.select("transaction_id", "payer"), "transaction_id").groupBy("payer", "student_id").agg(F.count("*").alias("payments"))
 
 
-def violations(proposed: DataFrame, ledger: DataFrame, transactions: DataFrame) -> DataFrame:
-    """(event_id, violations): the rules each proposed event breaks, in a fixed order; rows that break none are
-    left out. Proposed events of one payment, charge or holder are summed before they are compared."""
-    used = transaction_use(ledger, transactions).select("transaction_id", F.col("unapplied").alias("_left"))
-    charges = charge_balances(ledger).select("charge_id", F.col("balance").alias("_owed"))
-    credit = holder_credit(ledger).select("holder", F.col("credit").alias("_credit"))
-    spend = F.when(F.col("event_type").isin("allocation", "credit_grant"), F.col("amount_minor"))
-    settle = F.when(F.col("event_type").isin("allocation", "credit_application"), F.col("amount_minor"))
-    by_txn = proposed.groupBy("transaction_id").agg(F.sum(spend).alias("_spent"))
-    by_charge = proposed.groupBy("charge_id").agg(F.sum(settle).alias("_settled"))
-    by_holder = proposed.where("event_type = 'credit_application'").groupBy("holder").agg(F.sum("amount_minor").alias("_applied"))
-    joined = proposed
-    for other, key in ((used, "transaction_id"), (by_txn, "transaction_id"), (charges, "charge_id"), (by_charge, "charge_id"), (credit, "holder"), (by_holder, "holder")):
-        joined = joined.join(other, key, "left")
-    broken = F.array_compact(
-        F.array(
-            F.when(F.col("amount_minor").isNull() | (F.col("amount_minor") < 0), "amount"),
-            F.when(F.col("charge_id").isNotNull() & F.col("_owed").isNull(), "unknown_charge"),
-            F.when((F.col("_spent") > 0) & (F.coalesce("_left", F.lit(0)) < F.col("_spent")), "overspent_transaction"),
-            F.when((F.col("_settled") > 0) & (F.coalesce("_owed", F.lit(0)) < F.col("_settled")), "overpaid_charge"),
-            F.when((F.col("_applied") > 0) & (F.coalesce("_credit", F.lit(0)) < F.col("_applied")), "credit_exceeded"),
-        )
+def projected_sums(ledger: DataFrame) -> DataFrame:
+    """(kind, key, billed, paid, spent, credit) of every charge, transaction and holder: live events are read once and
+    summed in one aggregation with partial sums. kind: charge, transaction or holder."""
+    keys = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("key")) for kind, c in (("charge", "charge_id"), ("transaction", "transaction_id"), ("holder", "holder"))))
+    live = live_events(ledger).select("event_type", "amount_minor", F.explode(keys).alias("x")).where("x.key is not null")
+    grants = F.when(F.col("event_type") == "credit_grant", F.col("amount_minor")).when(F.col("event_type") == "credit_application", -F.col("amount_minor")).otherwise(0)
+    return live.groupBy("x.kind", "x.key").agg(
+        _sum_of("charge_created").alias("billed"), _sum_of("allocation", "credit_application").alias("paid"), _sum_of("allocation", "credit_grant").alias("spent"), F.sum(grants).alias("credit")
+    )
+
+
+#: What a posted event must say of itself.
+PROVENANCE = ("actor", "source", "evidence_ref", "decision_path")
+
+
+def verdicts(proposals: DataFrame, events: DataFrame, ledger: DataFrame, transactions: DataFrame, charges: DataFrame, students: DataFrame, holders: DataFrame) -> DataFrame:
+    """(proposal_id, violations): the rules each proposal breaks as a whole, in the order of the checks; an empty array if none.
+
+    proposals: (proposal_id, transaction_id); events: the proposed events, with proposal_id and the columns of ``PROVENANCE``;
+    charges, students, holders: what is known, by identity. INV-03: an amount is missing or negative. INV-09: provenance is
+    missing. INV-04: a charge, a student or the holder of a grant is unknown. INV-01: more than the transaction has left is
+    allocated or granted from it. INV-05: a known charge is paid beyond what is billed for it; and again if a holder's
+    applications exceed the holder's credit.
+    """
+    sums = cut(projected_sums(ledger))
+    of = lambda kind, name, *columns: sums.where(F.col("kind") == kind).select(F.col("key").alias(name), *columns)
+    key = lambda c: F.col(c).cast("string")
+    told = lambda name, df, c: df.select(key(c).alias(name)).distinct().withColumn(f"{name}_known", F.lit(True))
+    each = events.select(
+        "proposal_id", "event_type", "amount_minor", key("transaction_id").alias("_t"), key("charge_id").alias("_c"), key("student_id").alias("_s"), key("holder").alias("_h"),
+        F.greatest(F.lit(False), *(F.coalesce(F.col(c), F.lit("")) == "" for c in PROVENANCE)).alias("blank"),
+    )
+    each = each.join(told("_c", charges, "charge_id"), "_c", "left").join(told("_s", students, "student_id"), "_s", "left").join(told("_h", holders, "holder"), "_h", "left")
+    unknown = (
+        (F.col("_c").isNotNull() & F.col("_c_known").isNull())
+        | (F.col("_s").isNotNull() & F.col("_s_known").isNull())
+        | ((F.col("event_type") == "credit_grant") & ((F.coalesce("_h", F.lit("")) == "") | F.col("_h_known").isNull()))
     )
-    return joined.select("event_id", broken.alias("violations")).where(F.size("violations") > 0)
+    each = cut(each.join(proposals.select("proposal_id", key("transaction_id").alias("_own")), "proposal_id").withColumn("unknown", unknown))
+    spends = F.col("event_type").isin("allocation", "credit_grant") & (F.col("_t") == F.col("_own"))
+    whole = each.groupBy("proposal_id").agg(
+        F.max(F.col("amount_minor").isNull() | (F.col("amount_minor") < 0)).alias("amount"), F.max("blank").alias("blank"), F.max("unknown").alias("unknown"),
+        F.coalesce(F.sum(F.when(spends, F.col("amount_minor"))), F.lit(0)).alias("spends"),
+    )
+    paid = each.where("_c is not null and event_type in ('allocation', 'credit_application')").groupBy("proposal_id", "_c").agg(F.sum("amount_minor").alias("add"), F.max("_c_known").alias("known"))
+    paid = paid.where("known").join(of("charge", "_c", "billed", "paid"), "_c", "left")
+    over = paid.groupBy("proposal_id").agg(F.max(F.coalesce("paid", F.lit(0)) + F.col("add") > F.coalesce("billed", F.lit(0))).alias("over"))
+    applied = each.where("coalesce(_h, '') <> '' and event_type = 'credit_application'").groupBy("proposal_id", "_h").agg(F.sum("amount_minor").alias("add")).join(of("holder", "_h", "credit"), "_h", "left")
+    short = applied.groupBy("proposal_id").agg(F.max(F.col("add") > F.coalesce("credit", F.lit(0))).alias("short"))
+    money = transactions.select(key("transaction_id").alias("_own"), "amount_minor").join(of("transaction", "_own", "spent"), "_own", "left")
+    money = money.select("_own", (F.col("amount_minor") - F.coalesce("spent", F.lit(0))).alias("left"))
+    joined = proposals.select("proposal_id", key("transaction_id").alias("_own")).join(whole, "proposal_id").join(over, "proposal_id", "left").join(short, "proposal_id", "left").join(money, "_own", "left")
+    beyond = F.col("_own").isNotNull() & (F.col("spends") > F.coalesce("left", F.lit(0)))
+    broken = F.array(F.when(F.col("amount"), "INV-03"), F.when(F.col("blank"), "INV-09"), F.when(F.col("unknown"), "INV-04"), F.when(beyond, "INV-01"), F.when(F.col("over"), "INV-05"), F.when(F.col("short"), "INV-05"))
+    return joined.select("proposal_id", F.array_compact(broken).alias("violations"))
+
+
+def posted(events: DataFrame, judged: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """The events to append: those of proposals that break no rule, all of a proposal or none; blank provenance is
+    filled from ``defaults``. judged: as from ``verdicts``."""
+    good = judged.where(F.size("violations") == 0).select("proposal_id")
+    filled = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(v)) for c, v in defaults.items()}
+    return events.join(good, "proposal_id", "left_semi").withColumns(filled)
+
+
+def credit_shortfalls(applications: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(holder, credit, wanted, missing) of holders whose wanted applications exceed their credit. applications: (holder, amount_minor)."""
+    wanted = applications.where("holder is not null").groupBy("holder").agg(F.sum("amount_minor").alias("wanted"))
+    joined = wanted.join(holder_credit(ledger), "holder", "left").select("holder", F.coalesce("credit", F.lit(0)).alias("credit"), "wanted")
+    return joined.where("wanted > credit").withColumn("missing", F.col("wanted") - F.col("credit"))
+
+
+def emptied_transactions(ledger: DataFrame) -> DataFrame:
+    """(transaction_id) of payments of which something was reversed and nothing is used any more."""
+    undone = ledger.where("event_type = 'reversal' and transaction_id is not null").select("transaction_id").distinct()
+    used = live_events(ledger).where("event_type in ('allocation', 'credit_grant') and amount_minor > 0").select("transaction_id").distinct()
+    return undone.join(used, "transaction_id", "left_anti")
 
 
 def reversal_problems(requests: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -132,3 +187,20 @@ def audit_trail(ledger: DataFrame) -> DataFrame:
     """Every event with whether it was reversed."""
     undone = ledger.where("event_type = 'reversal'").select(F.col("reverses_event_id").alias("event_id")).distinct().withColumn("_undone", F.lit(True))
     return ledger.join(undone, "event_id", "left").select("event_id", "event_type", "amount_minor", F.coalesce("_undone", F.lit(False)).alias("is_reversed"))
+
+
+def transaction_audit(ledger: DataFrame) -> DataFrame:
+    """(about, event_id, event_type, amount_minor, is_reversed): of every transaction its events and the reversals of
+    them, whichever transaction those name."""
+    own = ledger.where("transaction_id is not null").select(F.col("transaction_id").alias("about"), "event_id", "event_type", "amount_minor")
+    back = ledger.where("reverses_event_id is not null").select(F.col("event_id").alias("by"), "event_type", "amount_minor", F.col("reverses_event_id").alias("event_id"))
+    others = back.join(own.select("about", "event_id"), "event_id").select("about", F.col("by").alias("event_id"), "event_type", "amount_minor")
+    undone = back.select("event_id").distinct().withColumn("_undone", F.lit(True))
+    every = own.unionByName(others).distinct().join(undone, "event_id", "left")
+    return every.select("about", "event_id", "event_type", "amount_minor", F.coalesce("_undone", F.lit(False)).alias("is_reversed"))
+
+
+def student_events(ledger: DataFrame) -> DataFrame:
+    """(about, event_id, event_type, amount_minor): the events that name somebody as student or as holder, each once."""
+    names = F.array_distinct(F.array_compact(F.array("student_id", "holder")))
+    return ledger.select(F.explode(names).alias("about"), "event_id", "event_type", "amount_minor")

@@ -33,7 +33,7 @@ def phone_matches(texts: DataFrame, phones: DataFrame) -> DataFrame:
     """(text_id, phone_id): a run of at least three digits of the text ends with the suffix. One equi-join on the
     runs' endings of the lengths that occur. texts: (text_id, text); phones: (phone_id, suffix)."""
     usable = phones.where("suffix is not null and suffix <> ''").select("phone_id", "suffix", F.length("suffix").alias("n"))
-    lengths = [r.n for r in usable.select("n").distinct().orderBy("n").limit(64).collect()]  # lengths, not suffixes
+    lengths = [r.n for r in usable.select("n").distinct().orderBy("n").collect()]  # lengths, not suffixes: as many as the longest at most
     if not lengths:
         return texts.limit(0).select("text_id").crossJoin(phones.limit(0).select("phone_id"))
     runs = texts.select("text_id", F.explode(digit_runs(F.col("text"))).alias("run"))

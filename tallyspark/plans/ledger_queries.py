@@ -78,22 +78,64 @@ def sequential_posting(spark, folder):
     return allocation.post_in_order(limits, payments)
 
 
-def constraint_violations(spark, folder):
-    log, txns = _parts(spark, folder)
-    lines = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.sum("l_quantity").alias("q"))
-    proposed = lines.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"), F.lit("allocation").alias("event_type"), F.col("part").alias("transaction_id"),
-        F.when(F.col("l_linenumber") == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("charge_id"), F.lit(None).cast("bigint").alias("holder"),
-        (F.round("q").cast("bigint") * 100).alias("amount_minor"),
+def _proposals(spark, folder):
+    """(proposals, events): one proposal per order, of its lines; some break a rule: line 7 names an unknown charge, line 6 is a
+    credit application, line 5 a grant, and quantities decide on missing provenance, unknown students and bad amounts."""
+    lines = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supplier"), F.sum("l_quantity").alias("q"))
+    lines = lines.join(table(spark, folder, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    q, n = F.round("q").cast("bigint"), F.col("l_linenumber")
+    kind = F.when(n == 6, "credit_application").when(n == 5, "credit_grant").otherwise("allocation")
+    events = lines.select(
+        F.col("l_orderkey").alias("proposal_id"), (F.col("l_orderkey") * 10 + n).alias("event_id"), kind.alias("event_type"), F.when(n == 4, F.col("part")).when(n != 6, F.col("l_orderkey") * 7 % 9973 + 1).alias("transaction_id"),
+        F.when(n == 7, -F.col("l_orderkey")).when(n != 5, F.col("l_orderkey")).alias("charge_id"), F.when(q % 41 == 0, F.lit(-1)).otherwise(F.col("o_custkey")).alias("student_id"),
+        F.when(n.isin(5, 6), F.when(q % 3 == 0, F.col("o_custkey")).otherwise(F.col("supplier") + 100_000_000)).alias("holder"), F.when(q % 43 == 0, -q).otherwise(q).alias("amount_minor"),
+        F.lit("desk").alias("actor"), F.lit("import").alias("source"), F.when(q % 37 == 0, F.lit("")).otherwise(F.col("l_orderkey").cast("string")).alias("evidence_ref"), F.lit("rule").alias("decision_path"),
     )
-    found = ledger.violations(proposed, log, txns)
-    return found.select("event_id", F.array_join("violations", ",").alias("violations"))
+    return events.where("event_type <> 'credit_application'").groupBy("proposal_id").agg(F.min("transaction_id").alias("transaction_id")).unionByName(
+        events.groupBy("proposal_id").agg(F.min("event_type").alias("e"), F.max("event_type").alias("f")).where("e = 'credit_application' and f = e").select("proposal_id", F.lit(None).cast("bigint").alias("transaction_id"))
+    ), events
+
+
+def _judged(spark, folder):
+    log, txns = _parts(spark, folder)
+    proposals, events = _proposals(spark, folder)
+    students = table(spark, folder, "customer", "c_custkey").select(F.col("c_custkey").alias("student_id"))
+    return events, ledger.verdicts(proposals, events, log, txns, tables.charges(spark, folder), students, students.withColumnRenamed("student_id", "holder"))
+
+
+def constraint_violations(spark, folder):
+    return _judged(spark, folder)[1].select("proposal_id", F.array_join("violations", ",").alias("violations"))
+
+
+def posted_events(spark, folder):
+    """What is appended, per kind: proposals without violations, as a whole."""
+    events, judged = _judged(spark, folder)
+    kept = ledger.posted(events, judged, {"actor": "engine", "source": "batch", "evidence_ref": "none", "decision_path": "auto"})
+    return kept.groupBy("event_type").agg(F.count("*").alias("events"), F.sum("amount_minor").alias("amount_minor"), F.countDistinct("proposal_id").alias("proposals"))
+
+
+def credit_sufficiency(spark, folder):
+    wanted = _proposals(spark, folder)[1].where("event_type = 'credit_application'").select((F.col("student_id")).alias("holder"), (F.col("amount_minor") * 1000).alias("amount_minor"))
+    return ledger.credit_shortfalls(wanted, tables.ledger(spark, folder))
+
+
+def emptied_transactions(spark, folder):
+    """One payment per charge."""
+    return ledger.emptied_transactions(tables.ledger(spark, folder).withColumn("transaction_id", F.col("charge_id")))
+
+
+def transaction_audit(spark, folder):
+    return ledger.transaction_audit(tables.ledger(spark, folder))
+
+
+def student_events(spark, folder):
+    return ledger.student_events(tables.ledger(spark, folder)).groupBy("about", "event_type").agg(F.count("*").alias("events"), F.sum("amount_minor").alias("amount_minor"), F.max("event_id").alias("last"))
 
 
-def reversal_guards(spark, folder):
-    log = tables.ledger(spark, folder)
-    asked = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber").where("l_orderkey % 3 = 0").select((F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10).alias("event_id"))
-    return ledger.reversal_problems(asked, log)
+def reversal_events(spark, folder):
+    """The reversals of all allocations of first lines: the events that a correction appends."""
+    asked = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber").where("l_linenumber = 1").select((F.col("l_orderkey") * 100 + 1).alias("event_id")).distinct()
+    return ledger.reversals(asked, tables.ledger(spark, folder)).select("event_type", "charge_id", "student_id", "amount_minor", "reverses_event_id")
 
 
 def reversal_requests(spark, folder):
@@ -139,6 +181,23 @@ used as (select transaction_id, cast(sum(case when event_type in ('allocation',
 credit as (select holder, cast(sum(case event_type when 'credit_grant' then amount_minor when 'credit_application' then -amount_minor else 0 end) as bigint) as credit from live where holder is not null group by holder)
 """
 _WITH = f"with {_LEDGER} "
+_PROPOSED = _WITH + """
+, q as (select l_orderkey, l_linenumber as n, min(l_partkey) as part, min(l_suppkey) as supplier, cast(round(sum(l_quantity)) as bigint) as q from lineitem group by 1, 2),
+ev as (select l_orderkey as proposal_id, case n when 6 then 'credit_application' when 5 then 'credit_grant' else 'allocation' end as event_type, case n when 4 then part when 6 then null else l_orderkey * 7 % 9973 + 1 end as transaction_id,
+  case when n = 7 then -l_orderkey when n <> 5 then l_orderkey end as charge_id, case when q % 41 = 0 then -1 else o_custkey end as student_id,
+  case when n in (5, 6) then case when q % 3 = 0 then o_custkey else supplier + 100000000 end end as holder, case when q % 43 = 0 then -q else q end as amount_minor, q % 37 = 0 as blank
+  from q join orders on o_orderkey = l_orderkey),
+pr as (select proposal_id, min(transaction_id) as own from ev group by 1),
+inv as (select proposal_id, bool_or(amount_minor < 0) as i3, bool_or(blank) as i9,
+  bool_or((charge_id is not null and charge_id not in (select o_orderkey from orders)) or student_id not in (select c_custkey from customer) or (event_type = 'credit_grant' and holder not in (select c_custkey from customer))) as i4,
+  coalesce(sum(amount_minor) filter (event_type in ('allocation', 'credit_grant') and transaction_id = own), 0) as spends, any_value(own) as own from ev join pr using (proposal_id) group by 1),
+pc as (select proposal_id, charge_id, sum(amount_minor) as add from ev where event_type <> 'credit_grant' and charge_id in (select o_orderkey from orders) group by 1, 2),
+i5 as (select proposal_id, bool_or(coalesce(paid, 0) + add > coalesce(billed, 0)) as over from pc left join balances using (charge_id) group by 1),
+ph as (select proposal_id, holder, sum(amount_minor) as add from ev where event_type = 'credit_application' group by 1, 2),
+i6 as (select proposal_id, bool_or(add > coalesce(credit, 0)) as short from ph left join credit using (holder) group by 1),
+judged as (select i.proposal_id, concat_ws(',', case when i3 then 'INV-03' end, case when i9 then 'INV-09' end, case when i4 then 'INV-04' end,
+  case when own is not null and spends > coalesce(t.amount_minor - coalesce(u.used, 0), 0) then 'INV-01' end, case when over then 'INV-05' end, case when short then 'INV-05' end) as violations
+  from inv i left join txns t on t.transaction_id = own left join used u on u.transaction_id = own left join i5 on i5.proposal_id = i.proposal_id left join i6 on i6.proposal_id = i.proposal_id) """
 _OPEN = """with owed as (select o_custkey as student_id, o_orderkey as charge_id, cast(substr(o_orderpriority, 1, 1) as int) as priority, cast(round(o_totalprice * 100) as bigint) as balance from orders),
 money as (select c_custkey as student_id, cast(round(c_acctbal * 100) as bigint) * 30 as amount from customer where cast(round(c_acctbal * 100) as bigint) > 0) """
 
@@ -146,7 +205,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         student_status, live_events_by_kind, charge_balance, dashboard_totals, holder_credit, txn_unapplied, payer_history, audit_trail, charges_by_priority, waterfall_allocation,
-        waterfall_surplus, sequential_posting, constraint_violations, reversal_guards, reversal_requests, orphan_links,
+        waterfall_surplus, sequential_posting, constraint_violations, posted_events, credit_sufficiency, emptied_transactions,
+        transaction_audit, student_events, reversal_events, reversal_requests, orphan_links,
     )
 }
 ORACLE = {
@@ -178,18 +238,23 @@ ORACLE = {
       union all select f.key, f.n + 1, case when amount <= remaining then remaining - amount else remaining end, posted + case when amount <= remaining then 1 else 0 end, skipped + case when amount <= remaining then 0 else 1 end
       from f join p on p.key = f.key and p.n = f.n + 1)
     select key, max_by(remaining, n) as remaining, max_by(posted, n) as posted, max_by(skipped, n) as skipped from f group by key""",
-    "constraint_violations": _WITH
-    + """, q as (select l_orderkey, l_linenumber, min(l_partkey) as part, sum(l_quantity) as q from lineitem group by 1, 2),
-    proposed as (select l_orderkey * 10 + l_linenumber as event_id, part as transaction_id, case when l_linenumber = 7 then -l_orderkey else l_orderkey end as charge_id, cast(round(q) as bigint) * 100 as amount_minor from q),
-    bt as (select transaction_id, sum(amount_minor) as spent from proposed group by 1), bc as (select charge_id, sum(amount_minor) as settled from proposed group by 1),
-    j as (select event_id, concat_ws(',', case when p.amount_minor < 0 then 'amount' end, case when b.charge_id is null then 'unknown_charge' end,
-      case when spent > 0 and coalesce(t.amount_minor - coalesce(used, 0), 0) < spent then 'overspent_transaction' end, case when settled > 0 and coalesce(billed - paid, 0) < settled then 'overpaid_charge' end) as violations
-      from proposed p left join txns t using (transaction_id) left join used using (transaction_id) left join bt using (transaction_id) left join balances b on b.charge_id = p.charge_id left join bc on bc.charge_id = p.charge_id)
-    select event_id, violations from j where violations <> ''""",
-    "reversal_guards": _WITH
-    + """, asked as (select l_orderkey * 100 + l_linenumber * 10 as event_id, count(*) as times from lineitem where l_orderkey % 3 = 0 group by 1),
-    j as (select a.event_id, case when l.event_id is null then 'unknown' when l.event_type = 'reversal' then 'is_reversal' when a.event_id in (select reverses_event_id from ledger where event_type = 'reversal') then 'already_reversed' when times > 1 then 'requested_twice' end as problem
-      from asked a left join ledger l on l.event_id = a.event_id) select event_id, problem from j where problem is not null""",
+    "constraint_violations": _PROPOSED + "select proposal_id, violations from judged",
+    "posted_events": _PROPOSED + "select event_type, count(*) as events, cast(sum(amount_minor) as bigint) as amount_minor, count(distinct proposal_id) as proposals from ev join judged using (proposal_id) where violations = '' group by 1",
+    "credit_sufficiency": _PROPOSED
+    + """select w.holder, coalesce(credit, 0) as credit, wanted, wanted - coalesce(credit, 0) as missing from (select student_id as holder, cast(sum(amount_minor * 1000) as bigint) as wanted from ev where event_type = 'credit_application' group by 1) w
+    left join credit c on c.holder = w.holder where wanted > coalesce(credit, 0)""",
+    "emptied_transactions": _WITH + "select distinct charge_id as transaction_id from ledger where event_type = 'reversal' and charge_id not in (select charge_id from live where event_type = 'allocation' and charge_id is not null)",
+    "transaction_audit": _WITH
+    + """, back as (select reverses_event_id as target, event_id, event_type, amount_minor from ledger where reverses_event_id is not null),
+    a as (select transaction_id as about, event_id, event_type, amount_minor from ledger where transaction_id is not null
+      union select l.transaction_id, b.event_id, b.event_type, b.amount_minor from back b join ledger l on l.event_id = b.target where l.transaction_id is not null)
+    select a.*, exists (select 1 from back where target = a.event_id) as is_reversed from a""",
+    "student_events": _WITH
+    + """, n as (select student_id as about, event_id, event_type, amount_minor from ledger where student_id is not null union all select holder, event_id, event_type, amount_minor from ledger where holder is not null and holder is distinct from student_id)
+    select about, event_type, count(*) as events, cast(sum(amount_minor) as bigint) as amount_minor, max(event_id) as last from n group by 1, 2""",
+    "reversal_events": _WITH
+    + """select 'reversal' as event_type, charge_id, student_id, amount_minor, event_id as reverses_event_id from ledger l where event_type = 'allocation' and event_id % 100 = 1
+    and not exists (select 1 from ledger r where r.reverses_event_id = l.event_id)""",
     "reversal_requests": _WITH
     + """, wanted as (select l_orderkey * 100 + l_linenumber as event_id from lineitem union all select l_orderkey * 100 + 1 from lineitem where l_linenumber = 1
       union all select l_orderkey * 100 + l_linenumber + 50 from lineitem where l_returnflag = 'R' union all select l_orderkey * 100 + 27 from lineitem where l_linenumber = 7),

@@ -29,11 +29,43 @@ def test_empty_log(spark, log):
     assert ledger.totals(log.limit(0), spark.createDataFrame([], "transaction_id bigint, amount_minor bigint")).first().received == 0
 
 
-def test_violations_sum_proposals_of_one_payment(spark, log):
-    txns = spark.createDataFrame([(7, 100, 1), (9, 15, 2)], "transaction_id bigint, amount_minor bigint, payer bigint")
-    proposed = spark.createDataFrame([(1, "allocation", 9, 11, None, 10), (2, "allocation", 9, 11, None, 10), (3, "allocation", 7, 10, None, 20), (4, "allocation", 7, 99, None, 0), (5, "credit_application", None, 11, 1, 30)], "event_id bigint, event_type string, transaction_id bigint, charge_id bigint, holder bigint, amount_minor bigint")
-    got = {r.event_id: r.violations for r in ledger.violations(proposed, log, txns).collect()}
-    assert got == {1: ["overspent_transaction"], 2: ["overspent_transaction"], 4: ["unknown_charge"], 5: ["credit_exceeded"]}
+PROPOSED = "proposal_id int, event_id int, event_type string, transaction_id bigint, charge_id bigint, student_id bigint, holder bigint, amount_minor bigint, actor string, source string, evidence_ref string, decision_path string"
+
+
+def judged(spark, log, *events, own=9):
+    full = [(p, k, *e, "a", "s", "e", "d") if len(e) == 6 else (p, k, *e) for k, (p, *e) in enumerate(events)]
+    make = spark.createDataFrame
+    proposals = make([(p, own) for p in sorted({e[0] for e in events})], "proposal_id int, transaction_id bigint")
+    txns = make([(7, 100), (9, 15)], "transaction_id bigint, amount_minor bigint")
+    charges, students, holders = make([(10,), (11,), (12,)], "charge_id bigint"), make([(1,), (2,)], "student_id bigint"), make([(1,), (2,), (50,)], "holder bigint")
+    out = ledger.verdicts(proposals, make(full, PROPOSED), log, txns, charges, students, holders)
+    return {r.proposal_id: r.violations for r in out.collect()}
+
+
+def test_verdicts_on_whole_proposals(spark, log):
+    got = judged(
+        spark, log,
+        (1, "allocation", 9, 11, 2, None, 10), (1, "allocation", 9, 11, 2, None, 10),  # together beyond the payment
+        (2, "allocation", 9, 11, 2, None, 15),
+        (3, "allocation", 9, 99, 2, None, 1), (4, "allocation", 9, 11, 77, None, 1), (5, "credit_grant", 9, None, None, 60, 1), (6, "credit_grant", 9, None, None, 50, 1), (7, "credit_grant", 9, None, None, None, 1),
+        (8, "allocation", 9, 11, 2, None, -1), (9, "allocation", 9, 11, 2, None, 1, "a", "s", "", "d"),
+        (10, "credit_application", None, 11, 2, 1, 51), (11, "credit_application", None, 11, 2, 1, 21), (12, "allocation", 9, 12, 2, None, 1), (13, "allocation", 7, 11, 2, None, 50),
+        (14, "allocation", 9, 11, 2, None, None),
+    )
+    assert got == {
+        1: ["INV-01"], 2: [], 3: ["INV-04"], 4: ["INV-04"], 5: ["INV-04"], 6: [], 7: ["INV-04"], 8: ["INV-03"], 9: ["INV-09"], 10: ["INV-05", "INV-05"], 11: ["INV-05"], 12: ["INV-05"],
+        13: [], 14: ["INV-03"],
+    }
+
+
+def test_posting_is_all_or_nothing_and_fills_provenance(spark, log):
+    events = spark.createDataFrame([(1, 1, "allocation", 9, 11, 2, None, 5, "", None, "x", "d"), (2, 2, "allocation", 9, 11, 2, None, 5, "a", "s", "e", "d"), (2, 3, "allocation", 9, 99, 2, None, 5, "a", "s", "e", "d")], PROPOSED)
+    verdicts = spark.createDataFrame([(1, []), (2, ["INV-04"])], "proposal_id int, violations array<string>")
+    assert [(r.event_id, r.actor, r.source) for r in ledger.posted(events, verdicts, {"actor": "engine", "source": "batch"}).collect()] == [(1, "engine", "batch")]
+    assert [(r.holder, r.missing) for r in ledger.credit_shortfalls(spark.createDataFrame([(1, 15), (1, 10), (2, 0)], "holder bigint, amount_minor bigint"), log).collect()] == [(1, 5)]
+    assert [r.transaction_id for r in ledger.emptied_transactions(log).collect()] == [8]
+    assert {(r.about, r.event_id, r.is_reversed) for r in ledger.transaction_audit(log).collect()} == {(7, 2, False), (7, 5, False), (8, 3, True), (8, 4, False)}
+    assert {(r.about, r.event_id) for r in ledger.student_events(log).where("about = 1").collect()} == {(1, k) for k in range(1, 6)}
 
 
 def test_reversals_are_guarded(spark, log):
@@ -64,11 +96,18 @@ def test_statement_outcomes(spark):
         ("b", 1, "", "2025-01-01", "5", "p", "y", "CREDIT"), ("b", 2, "R2", "2025-01-01", "abc", "p", "x", "credit"), ("b", 3, "R3", "2025-01-01", "abc", "p", "x", "debit"), ("b", 4, "R9", "d", "1", "p", "x", "credit"),
     ]
     df = spark.createDataFrame(rows, schema)
-    accepted = ingest.statement_outcomes(df.where("reference = 'R9'")).select("dedup_hash")
+    keyed = ingest.keyed_rows(df)
+    accepted = keyed.where("ref = 'R9'").select("dedup_hash", F.lit(None).cast("string").alias("posted_at"), "amount_minor", "payer", "narration")
     got = {(r.file, r.row_no): r.outcome for r in ingest.statement_outcomes(df, accepted).collect()}
     assert got == {("a", 1): "accepted", ("a", 2): "duplicate", ("a", 3): "accepted", ("a", 4): "near_duplicate", ("b", 1): "near_duplicate", ("b", 2): "rejected", ("b", 3): "skipped", ("b", 4): "duplicate"}
     summary = {r.file: (r.accepted, r.rejected, r.duplicate, r.skipped) for r in ingest.batch_summary(ingest.statement_outcomes(df)).collect()}
     assert summary == {"a": (3, 0, 1, 0), "b": (2, 1, 0, 1)}
+    # stored content makes a near duplicate, whatever the title and spelling of the payer and the time of day
+    old = spark.createDataFrame([("h", "2025-01-01T10:00", 500, "Mallam P.", "Y")], "dedup_hash string, posted_at string, amount_minor bigint, payer string, narration string")
+    assert {(r.file, r.row_no): r.outcome for r in ingest.statement_outcomes(df, old).collect()}[("a", 3)] == "near_duplicate"
+    one = {r.dedup_hash for r in ingest.keyed_rows(df.where("file = 'a' and row_no = 3").withColumn("payer", F.lit("Mr P"))).collect()}
+    assert one == {r.dedup_hash for r in keyed.where("file = 'a' and row_no = 3").collect()}
+    assert [(r.file, r.row_no, r.reason) for r in ingest.import_errors(df, ingest.statement_outcomes(df)).collect()] == [("b", 2, "no amount")]
 
 
 def test_registers_mapping_and_states(spark):
@@ -81,7 +120,11 @@ def test_registers_mapping_and_states(spark):
     assert ingest.latest_state(states, "id", "seq", "state").first().state == "auto"
     assert ingest.first_wins(rows.select("student_id", "row_no"), existing, ["student_id"], "row_no").count() == 2
     fees = spark.createDataFrame([("S", "F", "T", 1, "1,000", None), ("S", "F", "T", 2, "5", "1"), ("S", "G", "T", 1, "5", "x")], "student_id string, fee_id string, term_id string, row_no int, amount string, priority string")
-    assert sorted((r.outcome, r.priority or 0) for r in ingest.fee_register(fees).collect()) == [("accepted", 100), ("duplicate", 1), ("rejected", 0)]
+    assert sorted((r.outcome, r.priority or 0) for r in ingest.fee_register(fees).collect()) == [("accepted", 1), ("rejected", 0), ("rejected", 0)]
+    assert sorted((r.outcome, r.priority) for r in ingest.fee_register(fees.drop("priority")).collect()) == [("accepted", 100), ("accepted", 100), ("duplicate", 100)]
+    terms = spark.createDataFrame([(1, " T1 ", "s"), (2, "T1", "s"), (3, "T2", " "), (4, "T3", "s")], "row_no int, term_id string, session string")
+    got = ingest.setup_register(terms, ("term_id",), ("term_id", "session"), spark.createDataFrame([("T3",)], "term_id string"))
+    assert [(r.outcome, r.error) for r in got.orderBy("row_no").collect()] == [("accepted", None), ("duplicate", None), ("rejected", "term_id/session"), ("duplicate", None)]
 
 
 def test_phone_and_amount_and_alike(spark):
@@ -158,7 +201,7 @@ def test_model_path(spark):
     assert [r.p for r in df.select(modelpath.within_budget([F.col("long"), F.col("short")], 100).alias("p")).collect()] == ["short", "tiny"]
     calls = modelpath.call_model(spark.createDataFrame([(1, "ok"), (2, "fail")], "id int, prompt string"), backend)
     assert {(r.id, r.output, r.failure) for r in calls.collect()} == {(1, "OK", None), (2, None, "transport")}
-    raw = spark.createDataFrame([('{"transaction_id":"T","action":"propose","explanation":"e","allocations":[{"student_id":"S","amount_minor":true,"reason_codes":[]}]}',), ("[1]",), (None,)], "raw string")
+    raw = spark.createDataFrame([('{"transaction_id":"T","recommended_action":"propose","explanation":"e","candidate_allocations":[{"student_id":"S","amount_minor":true,"reason_codes":[]}]}',), ("[1]",), (None,)], "raw string")
     got = [r.p for r in raw.select(modelpath.output_problem(F.col("raw"), F.lit("T"), F.array(F.lit("S")), ("A",), ("propose",)).alias("p")).collect()]
     assert got == ["bad_amount", "invalid_json", "invalid_json"]
 
