@@ -115,8 +115,8 @@ _row_words, _tokens, _person = (f.asNondeterministic() for f in (_row_words, _to
 def class_code(text: Column) -> Column:
     """A number for the class in either spelling, or quoted in a narration; null if there is none."""
     pattern = r"(?i)(?<![\p{L}])(jss|ss|primary|pry|p|nursery|nur)[\s\p{Z}.,/_-]*([1-6])[a-e]?(?![\p{L}\p{N}])"
-    level, number = F.lower(F.regexp_extract(text, pattern, 1)), F.regexp_extract(text, pattern, 2)
-    return F.when(number != "", F.ascii(level) * 10 + number.try_cast("int"))
+    found = F.regexp_extract(text, pattern, 0)
+    return F.when(found != "", F.ascii(F.lower(found)) * 10 + F.regexp_extract(found, "[1-6]", 0).try_cast("int"))
 
 
 def _pair_key(child: str | Column, context: str | Column) -> Column:
@@ -299,6 +299,14 @@ def _place(name: str, mask: int) -> Column:
     return F.when((at >= 0) & (at < PLACES), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.cast("int"))).otherwise(F.lit(0).cast("bigint"))
 
 
+def _places(name: str, mask: int) -> Column:
+    """The token positions of a mask's bits, the lowest bit first; as many steps as there are bits."""
+    none = F.array().cast("array<int>")
+    step = lambda at, _: F.struct(at["rest"].bitwiseAND(at["rest"] - 1).alias("rest"), F.concat(at["out"], F.array((F.log2(at["rest"].bitwiseAND(-at["rest"])) + 0.5).cast("int") + mask * PLACES)).alias("out"))
+    start = F.struct(F.col(name).alias("rest"), none.alias("out"))
+    return F.when(F.col(name) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.bit_count(name), F.lit(1))), start, step, lambda at: at["out"]))
+
+
 def _has(bit: int) -> Column:
     return F.col("bits").bitwiseAND(bit) > 0
 
@@ -317,9 +325,7 @@ def votes(pairs: DataFrame, masks: int = 1) -> DataFrame:
     pairs: as from ``candidate_pairs``."""
     row, place = Window.partitionBy("row_id"), Window.partitionBy("row_id", "mention")
     of = range(masks)
-    marked = lambda k: F.filter(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda b: F.getbit(f"heads{k}", b) > 0)
-    shifted = lambda k: F.transform(marked(k), lambda b: b + k * PLACES)
-    mention = F.concat(*(shifted(k) for k in of))
+    mention = F.concat(*(_places(f"heads{k}", k) for k in of))
     each = pairs.withColumn("mention", F.explode(mention)).sortWithinPartitions("row_id", "mention")
     each = each.withColumn("rivals", F.count("*").over(place) - 1)
     # what the children that nobody else could be meant by cost together
@@ -434,7 +440,7 @@ def matches(statements: DataFrame, students: DataFrame, guardians: DataFrame, li
         class_code(F.coalesce("narration", F.lit(""))).alias("row_level"),
         _row_words("narration", "payer").alias("x"),
     ).select("row_id", "payer", "amount", "row_level", F.col("x.w").alias("w"), F.col("x.i").alias("i"), F.col("x.p").alias("p"))
-    words = cut_table(words.withColumn("who", F.array_join(F.array_sort("p.t"), " ")))
+    words = cut_table(words.withColumn("who", F.array_join(F.sort_array("p.t"), " ")))
     keys, vocabulary = students_with_keys(students, guardians, links, fees)
     vocabulary = cut(vocabulary)
     crowd = cut_table(collective_payers(words, vocabulary))  # of known size: broadcast where it is small
