@@ -5,8 +5,9 @@ the connected components are the units of assignment. Each component starts in t
 then whole components are moved or exchanged by simulated annealing so that split sizes and label counts
 come close to the wanted shares. Annealing runs in parallel over buckets of components, several chains per
 bucket, and each bucket keeps its best state; buckets are independent because each aims at the same shares.
-Components that hold at least a thousandth of all cases (there can be at most a thousand of them) are placed
-first, together, and the aims of the buckets are what those leave.
+Components that hold at least a thousandth of all cases (there can be at most a thousand of them) are annealed
+first, together, with the same cost, and the aims of the buckets are what those leave. The ``LABELS`` most frequent labels
+are balanced one by one and all others together, as one label; a bucket looks only at labels that occur in it.
 
 Defined results: a case without ids and codes is a component of its own; null or blank ids link nothing;
 repeated case numbers count once; an empty table gives empty results.
@@ -31,6 +32,8 @@ BUCKET = 2_000
 CHAINS = 4
 STEPS = 6_000
 SEED = 20_240_601
+#: Labels that are balanced one by one.
+LABELS = 1_000
 _CODE = r"(?<![\p{L}\p{N}])([A-Za-z]{3})[\s\p{Z}./_-]?([0-9]{4})(?![\p{L}\p{N}])"
 
 
@@ -121,18 +124,18 @@ def _hashed(keys: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(np.cumsum(shares), keys, side="right"), len(shares) - 1)
 
 
-def _best(sizes: np.ndarray, labels: np.ndarray, uniform: np.ndarray, size_aim: np.ndarray, label_aim: np.ndarray, seed: int) -> np.ndarray:
-    shares = size_aim / max(size_aim.sum(), 1e-12)
-    start = _hashed(uniform, shares)
-    total, scale = max(sizes.sum(), 1), np.maximum(labels.sum(0), 1)
+def deviation(split: np.ndarray, sizes: np.ndarray, labels: np.ndarray, size_aim: np.ndarray, label_aim: np.ndarray) -> float:
+    """The cost of an assignment: squared deviations of sizes and, on average, of labels, relative to their totals."""
+    now = np.zeros_like(label_aim, dtype=float)
+    np.add.at(now, split, labels)
+    size = np.bincount(split, weights=sizes, minlength=len(size_aim))
+    return float((((size - size_aim) / max(sizes.sum(), 1)) ** 2).sum() + (((now - label_aim) / np.maximum(labels.sum(0), 1)) ** 2).sum() / max(labels.shape[1], 1))
 
-    def cost(split: np.ndarray) -> float:
-        now = np.zeros_like(label_aim, dtype=float)
-        np.add.at(now, split, labels)
-        size = np.bincount(split, weights=sizes, minlength=len(size_aim))
-        return float((((size - size_aim) / total) ** 2).sum() + (((now - label_aim) / scale) ** 2).sum() / max(labels.shape[1], 1))
 
-    return min((anneal(sizes, labels, size_aim, label_aim, start, seed + c) for c in range(CHAINS)), key=cost)
+def _best(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, size_aim: np.ndarray, label_aim: np.ndarray, seed: int) -> np.ndarray:
+    """The best of the start and several chains from it."""
+    chains = [start, *(anneal(sizes, labels, size_aim, label_aim, start, seed + c) for c in range(CHAINS))]
+    return min(chains, key=lambda split: deviation(split, sizes, labels, size_aim, label_aim))
 
 
 def assign(cases: DataFrame, groups: DataFrame, label: str = "scenario_family", shares: dict[str, float] | None = None) -> DataFrame:
@@ -146,9 +149,13 @@ def assign(cases: DataFrame, groups: DataFrame, label: str = "scenario_family",
             "case_no", "_label", F.coalesce("root", "case_no").alias("group")
         )
     )
-    totals = {r._label: r.n for r in member.groupBy("_label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_label").limit(200).collect()}
+    totals = {r._label: r.n for r in member.groupBy("_label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_label").limit(LABELS).collect()}
     total = member.count()
-    kinds = list(totals)  # the 200 most frequent labels are balanced; the others only by size
+    if total > sum(totals.values()):  # what is left is one label
+        member = member.withColumn("_label", F.when(F.col("_label").isin(list(totals)), F.concat(F.lit("="), "_label")).otherwise(""))
+        totals = {f"={k}": n for k, n in totals.items()} | {"": total - sum(totals.values())}
+    kinds = list(totals)
+    at = {k: i for i, k in enumerate(kinds)}
     counts = member.groupBy("group", "_label").agg(F.count("*").alias("n"))
     parts = cut(
         counts.groupBy("group").agg(
@@ -160,7 +167,11 @@ def assign(cases: DataFrame, groups: DataFrame, label: str = "scenario_family",
     whole = np.array([totals[k] for k in kinds], float)
 
     def matrix(maps) -> np.ndarray:
-        return np.array([[dict(m).get(k, 0) for k in kinds] for m in maps], float).reshape(-1, len(kinds))
+        out = np.zeros((len(maps), len(kinds)))
+        for i, m in enumerate(maps):
+            for k, n in dict(m).items():
+                out[i, at[k]] = n
+        return out
 
     size_left, label_left = aims * total, np.outer(aims, whole)
     placed: list[tuple[int, str]] = []
@@ -171,8 +182,9 @@ def assign(cases: DataFrame, groups: DataFrame, label: str = "scenario_family",
         for k in np.argsort(-sizes, kind="stable"):  # into the split with most room, then exchanged
             fit[k] = int(np.argmax(room))
             room[fit[k]] -= sizes[k]
-        if sizes.sum() >= 0.5 * total:
-            fit = min((anneal(sizes, labels, aims * total, label_left, fit, SEED + c) for c in range(CHAINS)), key=lambda f: np.abs(np.bincount(f, weights=sizes, minlength=len(aims)) - aims * total).sum())
+        # where others are left for the buckets, a split that lacks something is no fault: each aims at its share of these
+        part = sizes.sum() / total
+        fit = _best(sizes, labels, fit, aims * total * part, label_left * np.where(whole > 0, labels.sum(0) / np.maximum(whole, 1), 0), SEED)
         size_left = np.maximum(size_left - np.bincount(fit, weights=sizes, minlength=len(aims)), 0)
         taken = np.zeros_like(label_left)
         np.add.at(taken, fit, labels)
@@ -184,7 +196,9 @@ def assign(cases: DataFrame, groups: DataFrame, label: str = "scenario_family",
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("group", kind="stable")
         sizes, labels = pdf["size"].to_numpy(float), matrix(pdf["labels"])
-        split = _best(sizes, labels, pdf["uniform"].to_numpy(), size_share * sizes.sum(), label_share * labels.sum(0), SEED + int(key[0]))
+        here = labels.sum(0) > 0
+        start = _hashed(pdf["uniform"].to_numpy(), size_share)
+        split = _best(sizes, labels[:, here], start, size_share * sizes.sum(), (label_share * labels.sum(0))[:, here], SEED + int(key[0]))
         return pd.DataFrame({"group": pdf["group"], "split": [names[s] for s in split]})
 
     small = parts.where(F.col("size") < bound)

@@ -39,6 +39,10 @@ from tallyspark.session import cut, cut_table
 MAX_DAYS = 3
 DAY_US = 86_400_000_000
 WINDOW_US = 2 * (MAX_DAYS + 1) * DAY_US
+#: Windows stored in one part of the index; parts of references whatever their time; the part of rows without a time.
+WINDOWS = 4
+BUCKETS = 64
+TIMELESS = "timeless"
 #: Shorter digit strings are placeholders, not references.
 MIN_DIGITS = 6
 _COLUMNS = ("row_id", "source", "reference", "raw_reference", "posted_at", "payer_name", "narration", "amount_minor")
@@ -257,41 +261,94 @@ def payments(df: DataFrame, rules: dict[str, tuple[str, bool]]) -> DataFrame:
     )
 
 
+def _group(window: Column) -> Column:
+    """The part of the index in which a time window's entries are stored."""
+    return F.concat(F.lit("w"), F.floor(window / WINDOWS).cast("string"))
+
+
+def _bucket() -> Column:
+    """The part in which a row's reference is stored whatever its time."""
+    return F.concat(F.lit("x"), F.pmod(F.xxhash64("amount", "digits"), F.lit(BUCKETS)).cast("string"))
+
+
+def _home() -> Column:
+    """The part in which a row itself is stored."""
+    return F.when(F.col("t").isNull(), TIMELESS).otherwise(_group(_window()))
+
+
+def _parted(rows: DataFrame, probes: bool) -> DataFrame:
+    """(key, row_id, home, part): the index entries, or the probes, of rows with the part they are stored or looked up in."""
+    none = F.array().cast("array<struct<key:bigint,part:string>>")
+    at = lambda key, part: F.struct(key.alias("key"), part.alias("part"))
+    window = _window()
+    exact = _key(F.lit(20), "amount", "digits")
+    days = lambda make: F.flatten(F.flatten(F.transform("words", lambda w: F.transform(_days(), lambda d: F.transform(make(w, d), lambda k: at(k, _group(F.floor(d * DAY_US / WINDOW_US))))))))
+    if probes:
+        # a row with a time meets equal references without one; a row without a time all equal references
+        near = F.transform(F.array(*_reference_probes(window, True)), lambda k: at(k, _group(window)))
+        own = F.when(F.col("t").isNull(), F.array(at(exact, _bucket()))).otherwise(F.concat(F.array(at(exact, F.lit(TIMELESS))), near))
+        entries = F.when(F.col("digits") != "", own).otherwise(days(_word_probes))
+    else:
+        nearer = window + F.when(F.pmod(F.col("t"), F.lit(WINDOW_US)) < WINDOW_US // 2, -1).otherwise(1)
+        near = F.flatten(F.transform(F.array(window, nearer), lambda w: F.transform(F.array(*_reference_segments(w)), lambda k: at(k, _group(w)))))
+        own = F.concat(F.array(at(exact, _bucket())), F.when(F.col("t").isNull(), F.array(at(exact, F.lit(TIMELESS)))).otherwise(near))
+        entries = F.concat(F.when(F.col("digits") != "", own).otherwise(none), days(_word_segments))
+    return rows.select(F.explode(F.array_distinct(entries)).alias("e"), "row_id", _home().alias("home")).select("e.key", "row_id", "home", "e.part")
+
+
 class AcceptedHistory:
-    """The accepted rows and their index in a folder, to which batches are appended.
+    """The accepted rows, their index and the probes of those that look up words, in a folder, to which batches are appended.
 
-    ``match`` reads of the history only what its probes meet; ``append`` writes the batch's rows and segments
-    in new files and never touches earlier ones.
+    All three tables are stored by parts: time windows, ``BUCKETS`` of references for rows without a time, and those rows
+    themselves. ``match`` reads of the index and the probes the parts that its batch looks into, and of the rows the
+    parts in which its candidates lie; nothing of an earlier row is computed again. ``append`` writes the batch's rows, segments and
+    probes in new files and never touches earlier ones.
     """
 
     def __init__(self, spark: SparkSession, folder: str, rules: dict[str, tuple[str, bool]]):
         self.spark, self.rules = spark, rules
-        self.rows_path, self.index_path = str(PurePosixPath(folder) / "rows"), str(PurePosixPath(folder) / "index")
+        self.rows_path, self.index_path, self.probes_path = (str(PurePosixPath(folder) / x) if ":" not in folder else f"{folder.rstrip('/')}/{x}" for x in ("rows", "index", "probes"))
 
-    def _read(self, path: str) -> DataFrame | None:
+    def _read(self, path: str, column: str, parts: list[str]) -> DataFrame | None:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         there = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-        return self.spark.read.parquet(path) if there else None
+        return self.spark.read.parquet(path).where(F.col(column).isin(parts)) if there else None
 
     def prepared(self, batch: DataFrame) -> DataFrame:
         return with_words(attributes(batch, self.rules))
 
+    @staticmethod
+    def _parts(df: DataFrame, column: str) -> list[str]:
+        """The parts a batch looks into: as many as its windows and buckets, whatever its rows."""
+        return sorted(r[0] for r in df.select(column).distinct().collect())
+
+    def candidates(self, new: DataFrame) -> DataFrame:
+        """(i, p, home): pairs of an accepted row i or another row of the batch, and a row p of the batch; home is the part of i."""
+        entries, probes = cut(_parted(new, False)), cut(_parted(new, True))
+        named = lambda df, n: df.withColumnRenamed("row_id", n)
+        pairs = named(entries, "i").join(named(probes, "p").select("key", "p"), "key").select("i", "p", F.lit(None).cast("string").alias("home"))
+        stored = self._read(self.index_path, "part", self._parts(probes, "part"))
+        if stored is not None:
+            pairs = pairs.unionByName(named(stored, "i").join(named(probes, "p").select("key", "p"), "key").select("i", "p", "home"))
+        # accepted rows without a reference look up the batch's words
+        asking = self._read(self.probes_path, "part", self._parts(entries, "part"))
+        if asking is not None:
+            pairs = pairs.unionByName(named(asking, "i").join(named(entries, "p").select("key", "p"), "key").select("i", "p", "home"))
+        return pairs.where("i <> p").distinct()
+
     def match(self, batch: DataFrame) -> DataFrame:
         """(a, b): b in the batch is the same payment as a, accepted earlier or in the same batch."""
         new = cut(self.prepared(batch))
-        rows, index = self._read(self.rows_path), self._read(self.index_path)
-        every = new if rows is None else rows.unionByName(new)
-        entries = index_entries(new) if index is None else index.unionByName(index_entries(new))
-        # both directions: a new row without reference meets earlier ones by words, and the other way round
-        met = candidates(entries, probe_entries(new))
-        if rows is not None:
-            lone = rows.where("digits = ''")
-            met = met.unionByName(candidates(index_entries(new), probe_entries(lone))).distinct()
-        met = met.join(new.select(F.col("row_id").alias("b")), "b", "left_semi")
-        return verified_pairs(met, every, new)
+        met = cut(self.candidates(new))
+        inside = met.where("home is null").select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
+        out = verified_pairs(inside, new, new)
+        before = met.where("home is not null")
+        rows = self._read(self.rows_path, "home", self._parts(before, "home"))
+        return out if rows is None else out.unionByName(verified_pairs(before.select(F.col("i").alias("a"), F.col("p").alias("b")).distinct(), rows, new))
 
     def append(self, batch: DataFrame) -> None:
         new = cut(self.prepared(batch))
-        new.write.mode("append").parquet(self.rows_path)
-        index_entries(new).write.mode("append").parquet(self.index_path)
+        tables = ((new.withColumn("home", _home()), "home", "row_id", self.rows_path), (_parted(new, False), "part", "key", self.index_path), (_parted(new.where("digits = ''"), True), "part", "key", self.probes_path))
+        for df, part, key, path in tables:  # in few files a part, and a large part in several
+            df.repartitionByRange(part, key).write.mode("append").partitionBy(part).parquet(path)

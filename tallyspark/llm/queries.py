@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import encoding, entity_links, format_duplicates, grouped_split, history, mixing, page_spam, split_overlap
 from tallyspark.operators.instants import feed_rules
+from tallyspark.session import ensure_checkpoint_dir
 from tallyspark.tables import table
 
 
@@ -17,6 +20,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("first").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
 
 
+def p1_increment(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id_a, row_id_b): the rows of the newest batch of rows, a tenth, against the history of all earlier ones, which lies in the
+    shared folder with its segment index."""
+    rules = feed_rules(table(spark, folder, "feed_zones"))
+    rows = table(spark, folder, "canonical_transactions")
+    newest = rows.agg(F.max("row_id").alias("n")).first().n or 0
+    accepted = history.AcceptedHistory(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}", rules)
+    accepted.append(rows.where(F.col("row_id") <= newest * 9 // 10))
+    found = accepted.match(rows.where(F.col("row_id") > newest * 9 // 10))
+    return found.select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id_a, row_id_b): first row of a record and each further copy."""
     rows = table(spark, folder, "bank_statement", "row_id", "reference", "date", "amount", "payer", "narration", "direction")
@@ -123,6 +138,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_increment": p1_increment,
     "p2_found": p2_found,
     "p2_records": p2_records,
     "p3_found": p3_found,

@@ -104,6 +104,37 @@ def test_batches_against_history(spark, tmp_path):
     assert spark.read.parquet(store.rows_path).count() == 5
 
 
+def test_batch_after_batch_equals_all_at_once_and_reads_its_parts_only(spark, tmp_path):
+    import shutil
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(240):
+        day, name = rng.choice((1, 2, 3, 150, 151, 300)), rng.choice(("Ngozi Obi", "Chidi Eze", "Musa Sani"))
+        when = None if k % 17 == 0 else f"2025-{1 + day // 31:02}-{1 + day % 28:02} {rng.randint(8, 9):02}:00"
+        ref = None if k % 5 == 0 else f"NIP{rng.choice((12345678901, 12345678902, 77345678901, 55555555555))}"
+        rows.append(row(k, ref, when, text=f"fees {name}"))
+    make = lambda some: spark.createDataFrame([(*r, "b", "c") for r in some], TX)
+    store, pairs = history.AcceptedHistory(spark, str(tmp_path), RULES), set()
+    for k in range(0, 240, 80):
+        batch = make(rows[k : k + 80])
+        pairs |= {(r.a, r.b) for r in store.match(batch).collect()}
+        store.append(batch)
+    whole = history.with_words(history.attributes(make(rows), RULES)).persist()
+    met = history.candidates(history.index_entries(whole), history.probe_entries(whole))
+    assert pairs == {(r.a, r.b) for r in history.verified_pairs(met, whole, whole).collect()} and len(pairs) > 100
+    # parts that a batch does not look into may be gone
+    late = make([row(900, "NIP12345678901", "2025-01-02 08:00", text="fees Ngozi Obi"), row(901, None, "2025-01-03 09:00", text="fees Musa Sani")])
+    before = {(r.a, r.b) for r in store.match(late).collect()}
+    new = store.prepared(late)
+    kept = {*store._parts(history._parted(new, True), "part"), *store._parts(history._parted(new, False), "part")}
+    gone = [p for x in ("index", "probes") for p in (tmp_path / x).glob("part=*") if p.name[5:] not in kept]
+    for p in gone:
+        shutil.rmtree(p)
+    spark.catalog.refreshByPath(str(tmp_path))
+    assert gone and before and {(r.a, r.b) for r in store.match(late).collect()} == before
+
+
 def case(spark, *rows):
     students = "array<struct<id string, name string, guardians array<string>>>"
     schema = f"case_no bigint, scenario_family string, setup struct<students {students}>, txn struct<narration string>, split string"
