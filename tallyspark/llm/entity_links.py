@@ -30,6 +30,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,17 +87,65 @@ def person_tokens(every: list[str]) -> list[dict]:
 _ARROW_PERSON = pa.list_(pa.struct([("t", pa.string()), ("m", pa.int32())]))
 
 
+def _plain(texts: pa.Array) -> pa.Array:
+    """``names.plain`` of a batch: plain letters by a kernel, others one by one."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    out = pc.replace_substring(pc.utf8_lower(texts), "'", "")
+    odd = pc.invert(pc.string_is_ascii(texts))
+    if pc.any(odd).as_py():
+        out = pc.replace_with_mask(out, odd, pa.array([names.plain(t) for t in texts.filter(odd).to_pylist()], pa.string()))
+    return out
+
+
+def row_words(narrations: pa.Array, payers: pa.Array) -> pa.Array:
+    """(w, i, p) of a batch: the words of the narrations that may name somebody, each once and in order; the first letters of single
+    letters in it; the words of the payers with the initials of their others. Where a payer reads like a narration
+    and the narration does not, the two are exchanged. What a word is, is found once per different word of the batch."""
+    n = len(narrations)
+    # as re's word characters, without the underscore: letters, numbers of any kind
+    lists = [pc.split_pattern_regex(_plain(x), r"[^\p{L}\p{N}]+") for x in (narrations, payers)]
+    row = np.concatenate([np.repeat(np.arange(n), np.diff(x.offsets.to_numpy())) for x in lists])
+    side = np.repeat([0, 1], [len(x.flatten()) for x in lists])
+    coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+    of = coded.indices.to_numpy(zero_copy_only=False)
+    raw = coded.dictionary.to_pylist()
+    folded = [names.fold(t) for t in raw]
+    flag = lambda test: np.fromiter((test(t) for t in folded), bool, len(folded))[of]
+    size = np.fromiter(map(len, folded), np.int64, len(folded))[of]
+    letter = np.fromiter((_letter(t) if t else 0 for t in folded), np.int64, len(folded))[of]
+    alpha, title, filler, purpose = flag(str.isalpha), flag(names.TITLES.__contains__), flag(names.is_filler), flag(_PURPOSE.__contains__)
+    asks = [np.bincount(row[(side == k) & purpose], minlength=n) > 0 for k in (0, 1)]
+    told = side ^ (asks[1] & ~asks[0])[row] == 0
+    values = pa.array(folded, pa.string()).dictionary_encode()
+    code = values.indices.to_numpy(zero_copy_only=False)[of]
+
+    def once(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the first of each word in a row, in order, and the offsets of the rows."""
+        k = np.flatnonzero(keep)
+        k = k[np.argsort(row[k], kind="stable")]
+        _, first = np.unique(row[k] * max(1, len(values.dictionary)) + code[k], return_index=True)
+        k = k[np.sort(first)]
+        return k, np.concatenate([[0], np.cumsum(np.bincount(row[k], minlength=n))]).astype(np.int32)
+
+    k, offsets = once(told & (size > 2) & alpha & ~title & ~filler)
+    words = pa.ListArray.from_arrays(pa.array(offsets), values.dictionary.take(pa.array(code[k])))
+    initials = np.zeros(n, np.int64)
+    single = told & (size == 1) & alpha
+    np.bitwise_or.at(initials, row[single], letter[single])
+    name = ~told & alpha & ~title
+    seen = np.zeros((n, 27), np.int64)
+    place = np.log2(np.maximum(letter, 1)).astype(np.int64)
+    np.add.at(seen, (row[name], place[name]), 1)
+    every = ((seen > 0) * (1 << np.arange(27))).sum(1)
+    k, offsets = once(name & (size > 2))
+    others = np.where(seen[row[k], place[k]] > 1, every[row[k]], every[row[k]] & ~letter[k])
+    person = pa.StructArray.from_arrays([values.dictionary.take(pa.array(code[k])), pa.array(others, pa.int32())], ["t", "m"])
+    return pa.StructArray.from_arrays([words, pa.array(initials, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), person)], ["w", "i", "p"])
+
+
 @F.arrow_udf(_WORDS)
 def _row_words(narrations: pa.Array, payers: pa.Array) -> pa.Array:
-    w, i, p = [], [], []
-    for n, q in zip(narrations.to_pylist(), payers.to_pylist()):
-        told, payer = _words(n), _words(q)
-        if not _PURPOSE.isdisjoint(payer) and _PURPOSE.isdisjoint(told):
-            told, payer = payer, told  # the fields are exchanged: the payer reads like a narration
-        w.append(list(dict.fromkeys(t for t in told if len(t) > 2 and t.isalpha() and t not in names.TITLES and not names.is_filler(t))))
-        i.append(sum({_letter(t) for t in told if len(t) == 1 and t.isalpha()}))
-        p.append(person_tokens(payer))
-    return pa.StructArray.from_arrays([pa.array(w, pa.list_(pa.string())), pa.array(i, pa.int32()), pa.array(p, _ARROW_PERSON)], ["w", "i", "p"])
+    return row_words(narrations, payers)
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))

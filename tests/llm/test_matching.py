@@ -234,3 +234,17 @@ def test_equal_texts_get_equal_results_in_any_batch():
     alone = [page_spam.is_spam(x) for x in texts]
     together = page_spam.decide(page_spam.figures(pa.array(texts * 3, pa.string())))
     assert list(together) == alone * 3 and len(page_spam.decide(page_spam.figures(pa.array([], pa.string())))) == 0
+
+
+@pytest.mark.parametrize(
+    "narration, payer, w, letters, p",
+    [
+        (None, None, [], "", {}), ("fees for Chidi Chidi O. Bello_ada", "Mr A. Obi Ada", ["chidi", "bello", "ada"], "o", {"obi": "a", "ada": "ao"}),
+        ("Obi Ada", "school fees for Zainab", ["zainab"], "", {"obi": "a", "ada": "o"}), ("fees ch1di", "Ada Ada", ["chidi"], "", {"ada": "a"}), ("", "É. Ọlá", [], "", {"ola": "e"}),
+    ],
+)
+def test_words_of_rows(narration, payer, w, letters, p):
+    bits = lambda x: sum(1 << (ord(c) - 97) for c in x)
+    got = entity_links.row_words(pa.array([narration, "x"], pa.string()), pa.array([payer, None], pa.string())).to_pylist()[0]
+    assert (got["w"], got["i"], {x["t"]: x["m"] for x in got["p"]}) == (w, bits(letters), {t: bits(m) for t, m in p.items()})
+    assert len(entity_links.row_words(pa.array([], pa.string()), pa.array([], pa.string()))) == 0
