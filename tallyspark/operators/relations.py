@@ -8,17 +8,25 @@ from pyspark.sql.window import Window
 
 from tallyspark.functions.similarity import jaro_winkler
 from tallyspark.functions.text import digit_runs, tokens
+from tallyspark.operators.skew import join_summaries
+from tallyspark.session import cut, cut_table
 
 #: Weights, similarity and length of the candidate list.
 STRONG, MEDIUM, ALIKE, TOP = 10, 5, 0.88, 5
 
 
 def sibling_counts(links: DataFrame) -> DataFrame:
-    """(student_id, siblings): how many other students share a guardian. Distinct pairs are counted, not kept."""
-    links = links.select("student_id", "guardian_id").distinct()
-    other = links.select(F.col("student_id").alias("sibling"), "guardian_id")
-    pairs = links.join(other, "guardian_id").where("student_id <> sibling").select("student_id", "sibling").distinct()
-    return pairs.groupBy("student_id").agg(F.count("*").alias("siblings"))
+    """(student_id, siblings): how many other students share a guardian. Students with the same guardians are one class with a
+    number; only different classes that share a guardian meet, each pair once, so a guardian of very many students makes as
+    many pairs as there are different sets of guardians around, not students."""
+    sets = links.where("student_id is not null and guardian_id is not null").groupBy("student_id").agg(F.sort_array(F.collect_set("guardian_id")).alias("s")).withColumn("class", F.md5(F.to_json("s")))
+    sets = cut_table(sets)
+    classes = cut(sets.groupBy("class").agg(F.first("s").alias("s"), F.count("*").alias("_n")))
+    each = classes.select("class", "_n", F.explode("s").alias("g"))
+    pairs = each.select("class", "g").join(each.select(F.col("class").alias("other"), F.col("_n").alias("k"), "g"), "g").select("class", "other", "k").distinct()
+    totals = pairs.groupBy("class").agg((F.sum("k") - 1).alias("siblings")).where("siblings > 0")
+    summed = cut(totals.join(classes.select("class", "_n"), "class"))
+    return join_summaries(sets.select("student_id", "class"), summed, ["class"], "_n").select("student_id", "siblings")
 
 
 def token_overlap(texts: DataFrame, names: DataFrame) -> DataFrame:

@@ -231,6 +231,58 @@ def calibration_labels(spark, folder):
     return joined.select(F.col("scope").alias("case_no"), F.coalesce(label, F.lit(False)).alias("label"))
 
 
+def split_divergence(spark, folder):
+    """(case_no, dealt): cases whose authored lines are not what distributing each student's total over the charges gives."""
+    cases = _cases(spark, folder).where("size(expected.allocations) > 0")
+    amounts = F.transform("expected.allocations", lambda a: F.struct(a["student_id"].alias("student_id"), parse_money(a["amount_naira"]).alias("amount_minor")))
+    charge = lambda s, c: F.struct(F.concat_ws("-", F.lit("CHG"), s["id"], c["fee_id"]).alias("charge_id"), parse_money(c["amount_naira"]).alias("balance"))
+    zero = F.lit(0).cast("bigint")
+    total = lambda s: F.aggregate(F.filter("_a", lambda a: a["student_id"] == s["id"]), zero, lambda x, a: x + F.coalesce(a["amount_minor"], zero))
+    open_ = lambda s: F.array_sort(F.filter(F.transform(s["charges"], lambda c: charge(s, c)), lambda b: b["balance"] > 0))
+    paid = F.filter("setup.students", lambda s: F.exists("_a", lambda a: a["student_id"] == s["id"]))
+    natural = F.flatten(F.transform(paid, lambda s: reconcile.triples(s["id"], reconcile.distributed(open_(s), total(s)), F.lit(True))))
+    fee = lambda a: F.coalesce(a["fee_id"], F.get(F.filter("setup.students", lambda s: (s["id"] == a["student_id"]) & (F.size(s["charges"]) == 1)), F.lit(0))["charges"][0]["fee_id"])
+    wanted = F.transform("expected.allocations", lambda a: F.concat_ws("|", a["student_id"], F.concat_ws("-", F.lit("CHG"), a["student_id"], fee(a)), parse_money(a["amount_naira"]).cast("string")))
+    both = cases.withColumn("_a", amounts).select(F.col("scope").alias("case_no"), F.array_sort(F.array_distinct(natural)).alias("dealt"), F.array_sort(F.array_distinct(wanted)).alias("wanted"))
+    return both.where("dealt <> wanted").select("case_no", F.array_join("dealt", ",").alias("dealt"))
+
+
+def app_examples(spark, folder):
+    """(case_no, prompt, completion): digests of the prompts of cases whose students are all in the pool, with the answer wanted."""
+    cases = _cases(spark, folder).where("expected.outcome <> 'duplicate_blocked'").select("scope", "expected", "scenario_family")
+    joined = _prompts(spark, folder).where("kept > 0").join(cases, "scope")
+    pool = F.transform(F.slice("listed", 1, F.greatest("kept", F.lit(1))), lambda c: c["student_id"])
+    truth = F.transform("expected.allocations", lambda a: a["student_id"])
+    lines = F.transform("expected.allocations", lambda a: F.struct(a["student_id"].alias("student_id"), parse_money(a["amount_naira"]).alias("amount_minor")))
+    answer = F.to_json(F.struct(F.col("payment_id").alias("transaction_id"), F.col("scenario_family").alias("payment_intent"), lines.alias("candidate_allocations"), F.col("expected.outcome").alias("recommended_action")), {"ignoreNullFields": "false"})
+    return joined.where(F.size(F.array_except(truth, pool)) == 0).select(F.col("scope").alias("case_no"), F.md5("prompt").alias("prompt"), F.md5(answer).alias("completion"))
+
+
+def evidence_snapshots(spark, folder):
+    """(row_id, evidence): digests of what a decision keeps of a payment, as it was then."""
+    kept = ("transaction_id", "source", "reference", "raw_reference", "posted_at", "payer_name", "narration", "amount_minor", "direction")
+    rows = table(spark, folder, "canonical_transactions", "row_id", *kept)
+    return rows.select("row_id", F.md5(F.to_json(F.struct(*kept), {"ignoreNullFields": "false"})).alias("evidence"))
+
+
+def superseded_proposals(spark, folder):
+    """(transaction_id, proposals, pending): proposals of a transaction, of which only the latest still waits."""
+    rows = table(spark, folder, "canonical_transactions", "row_id", "transaction_id").where("transaction_id is not null")
+    return rows.groupBy("transaction_id").agg(F.count("*").alias("proposals"), F.max("row_id").alias("pending"))
+
+
+def frozen_cases(spark, folder):
+    """(id, problem): of the frozen ids of the test split, and one that never was, those that the cases lack or have twice."""
+    cases = table(spark, folder, "gold_cases", "id", "split")
+    frozen = cases.where("split = 'test'").select("id").unionByName(spark.createDataFrame([("gold-none",)], "id string"))
+    have = cases.groupBy("id").agg(F.count("*").alias("n"))
+    return frozen.distinct().join(have, "id", "left").select("id", F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").alias("problem")).where("problem is not null")
+
+
+def students_by_name(spark, folder):
+    return table(spark, folder, "students", "student_id", "name").orderBy("name", "student_id")
+
+
 def review_decisions(spark, folder):
     """(case_no, outcome, allocations, allocated_minor, unapplied_minor, credit_minor) of decisions on the cases' expected lines: each
     tenth proposal was decided before, each seventh is rejected; some edits name strangers or too much."""
@@ -252,7 +304,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_matches, candidate_signals, candidate_top5, prior_payers, prompt_ladder, answer_grammars, chat_forms, feature_vector, confidence_score, reconcile_states, case_records, metric_set,
-        language_accuracy, calibration_labels, review_decisions,
+        language_accuracy, calibration_labels, review_decisions, split_divergence, app_examples, evidence_snapshots, superseded_proposals, frozen_cases, students_by_name,
     )
 }
 
@@ -382,4 +434,19 @@ ORACLE = {
     q as (select case_no, string_agg(sid || '|' || z.charge_id || '|' || z.amount, ',' order by sid || '|' || z.charge_id || '|' || z.amount) as allocations, cast(sum(z.amount) as bigint) as allocated from t group by 1)
     select o.case_no, outcome, coalesce(allocations, '') as allocations, coalesce(allocated, 0) as allocated_minor, case when outcome = 'rejected' then amount when outcome = 'approved' then case when holder is null then amount - coalesce(allocated, 0) else 0 end end as unapplied_minor,
     case when outcome = 'approved' and holder is not null then amount - coalesce(allocated, 0) else 0 end as credit_minor from o left join q using (case_no)""",
+    "split_divergence": _CASES
+    + f""", g as (select w.case_no, s, list_sum(list_transform(list_filter(expected.allocations, lambda a: a.student_id = s.id), lambda a: {_minor('a.amount_naira')})) as amount, len(list_filter(expected.allocations, lambda a: a.student_id = s.id)) as k
+      from (select case_no, expected, unnest(setup.students) as s from w) w),
+    b as (select case_no, s.id as sid, amount, {_charges('s')} as bal from g where k > 0), t as (select case_no, unnest({_EVENTS.format(t=f"({_TAKE.format(b='bal', a='amount')})", s='sid')}) as e from b),
+    n as (select case_no, list_sort(list_distinct(list(e))) as dealt from t group by 1),
+    v as (select case_no, list_sort(list_distinct(list_transform(expected.allocations, lambda a: a.student_id || '|CHG-' || a.student_id || '-' || coalesce(a.fee_id, list_filter(setup.students, lambda s: s.id = a.student_id and len(s.charges) = 1)[1].charges[1].fee_id) || '|' || {_minor('a.amount_naira')}))) as wanted from w where len(expected.allocations) > 0)
+    select v.case_no, coalesce(array_to_string(dealt, ','), '') as dealt from v left join n using (case_no) where coalesce(dealt, []) <> wanted""",
+    "app_examples": _PROMPT
+    + f""", li as (select r.case_no, list(r.sid) as ids from r join pp on pp.case_no = r.case_no where rank <= greatest(kept, 1) group by 1)
+    select w.case_no, md5(prompt) as prompt, md5(to_json({{'transaction_id': w.id, 'payment_intent': scenario_family, 'candidate_allocations': list_transform(expected.allocations, lambda a: {{'student_id': a.student_id, 'amount_minor': {_minor('a.amount_naira')}}}), 'recommended_action': expected.outcome}})) as completion
+    from pp join w using (case_no) join li using (case_no) where kept > 0 and list_has_all(ids, list_transform(expected.allocations, lambda a: a.student_id))""",
+    "evidence_snapshots": "select row_id, md5(to_json({'transaction_id': transaction_id, 'source': source, 'reference': reference, 'raw_reference': raw_reference, 'posted_at': posted_at, 'payer_name': payer_name, 'narration': narration, 'amount_minor': amount_minor, 'direction': direction})) as evidence from canonical_transactions",
+    "superseded_proposals": "select transaction_id, count(*) as proposals, max(row_id) as pending from canonical_transactions where transaction_id is not null group by 1",
+    "frozen_cases": "select 'gold-none' as id, 'missing' as problem union all select id, 'repeated' from gold_cases where id in (select id from gold_cases where split = 'test') group by id having count(*) > 1",
+    "students_by_name": "select student_id, name from students order by name, student_id",
 }
