@@ -44,6 +44,28 @@ def test_scan_equals_comparing_all(spark):
     assert got == {(i, j) for i, a in enumerate(records) for j, b in enumerate(records) if split_overlap.same_record(form(a), form(b))}
 
 
+def test_overlaps_by_passages_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(split_overlap, "SHARD", 40)
+    monkeypatch.setattr(split_overlap, "SIGNED", 7)
+    base = ["Chidi Obinna", "Ngozi Adaku Obinna", "Zainab Bello", "Musa Danladi"]
+    texts = [(p, [s, *more], f"fees for {s}") for p, s in itertools.product(["K O Obinna", "Amina Bello", "AminaBello", None], base) for more in ([], [base[0]])]
+    worse = [(p, [s.replace("b", "bb", 1).replace("Ngozi A", "NgoziA"), *more], n) for p, (s, *more), n in texts]
+    rows = [(k, "train", *x) for k, x in enumerate(texts)] + [(100 + k, "test", *x) for k, x in enumerate(worse)]
+    form = lambda x: (split_overlap.person(x[0]), [split_overlap.person(y) for y in x[1]], split_overlap.purpose(x[2]))
+    same = {(j, 100 + i) for i, a in enumerate(worse) for j, b in enumerate(texts) if split_overlap.same_record(form(a), form(b))}
+    assert len(same) >= 24 and found(spark, *rows) == same
+    # run together, where neither payer nor student has two undamaged words: no automaton of word halves met these
+    assert found(spark, (1, "train", "ChimimimAdeyazo", ["Shumumi Adeyazo"], "fees Adeyazo"), (2, "val", "ChimimimAdeyazo", ["Shuyumi Adeyazo"], "fees Adeyazo")) == {(1, 2)}
+
+
+def test_signatures_refuse_different_names_only():
+    people = [["k", "o", "obinna"], ["obinna"], ["obina", "kachi"], ["kachi", "obinna"], ["kachiobinna"], ["bello"], ["amina", "belo"], [], ["a", "b", "c", "d"], ["obinan", "kahci"], ["x" * 40, "kachi"]]
+    words, letters = split_overlap.signatures(pa.array(people, pa.list_(pa.string())))
+    i, j = (x.ravel() for x in np.indices((len(people), len(people))))
+    may = split_overlap.may_agree(words[i], letters[i], words[j], letters[j])
+    assert all(m or not names.same_words(people[a], people[b]) for m, a, b in zip(may, i, j)) and may.sum() < 0.7 * len(may)
+
+
 @pytest.mark.parametrize("a, b, same", [("Ada Obi", "OBI, ADA", True), ("A. Obi", "Ada Obi", True), ("Ada Obi", "Uche Obi", False), (None, "", True), ("Ada", None, False), ("Dr Ada Obi", "Ada Obbi", True)])
 def test_persons(a, b, same):
     assert names.same_person(a, b) is same
