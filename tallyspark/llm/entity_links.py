@@ -164,8 +164,9 @@ _row_words, _tokens, _person = (f.asNondeterministic() for f in (_row_words, _to
 def class_code(text: Column) -> Column:
     """A number for the class in either spelling, or quoted in a narration; null if there is none."""
     pattern = r"(?i)(?<![\p{L}])(jss|ss|primary|pry|p|nursery|nur)[\s\p{Z}.,/_-]*([1-6])[a-e]?(?![\p{L}\p{N}])"
-    found = F.regexp_extract(text, pattern, 0)
-    return F.when(found != "", F.ascii(F.lower(found)) * 10 + F.regexp_extract(found, "[1-6]", 0).try_cast("int"))
+    # as an array's one element, so that the text is searched once
+    number = lambda found: F.when(found != "", F.ascii(F.lower(found)) * 10 + F.regexp_extract(found, "[1-6]", 0).try_cast("int"))
+    return F.transform(F.array(F.regexp_extract(text, pattern, 0)), number)[0]
 
 
 def _pair_key(child: str | Column, context: str | Column) -> Column:
@@ -273,10 +274,11 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("told", told).withColumn("around", F.concat("told", payer, single))
 
 
-def _paired(heads: DataFrame, among: Column) -> DataFrame:
-    """(row_id, key, place, what) of every head with every entry of ``among``: place is the head's position and the
-    other's, what is the other's initials and the form of the head. heads: (row_id, h, ...)."""
-    pairs = heads.select("row_id", "h", F.explode(among).alias("o")).where("h.known <> o.known")
+def _paired(heads: DataFrame, among: str | Column, apart: Column | str = "true") -> DataFrame:
+    """(row_id, key, place, what) of every head h with every entry o of ``among`` of another name of which ``apart`` holds: place is the
+    head's position and the other's, what is the other's initials and the form of the head. heads: (row_id, h, ...).
+    What is apart is told after the entries are rows, in compiled code."""
+    pairs = heads.select("row_id", "h", F.explode(among).alias("o")).where("h.known <> o.known").where(apart)
     place = F.col("h.pos").cast("bigint") * (1 << 32) + F.col("o.pos") + 2
     return pairs.select("row_id", _pair_key(F.col("h.known"), F.col("o.known")).alias("key"), place.alias("place"), (F.col("o.mask").cast("bigint") * (1 << 16) + F.col("h.form")).alias("what"))
 
@@ -299,7 +301,7 @@ def candidate_pairs(rows: DataFrame, keys: DataFrame, vocabulary: DataFrame, mas
     barren = F.broadcast(common.where("not head").select(F.col("token").alias("_t")))
     heads = named.select("row_id", F.explode("told").alias("h"), "around")
     heads = heads.join(barren, F.col("h.known") == F.col("_t"), "left_anti")
-    pairs = _paired(heads, F.filter("around", lambda x: x["pos"] != F.col("h.pos")))
+    pairs = _paired(heads, "around")  # at one position there is one name
     # words that may stand for others, and their rows
     told = rows.select("row_id", "w", "p", "i", F.posexplode("w").alias("pos", "token")).withColumn("mask", F.lit(0))
     paid = rows.select("row_id", "w", "p", "i", F.explode("p").alias("x")).select("row_id", "w", "p", "i", F.lit(-1).alias("pos"), F.col("x.t").alias("token"), F.col("x.m").alias("mask"))
@@ -310,11 +312,12 @@ def candidate_pairs(rows: DataFrame, keys: DataFrame, vocabulary: DataFrame, mas
     moved = _named(texts.join(stands, "row_id"))
     plain = lambda x: _entry(x["pos"], x["known"], x["form"], x["mask"])
     meant = moved.select(
-        "row_id", F.col("around").alias("exact"), F.concat("around", F.transform("m", plain)).alias("around"),
+        "row_id", F.transform("m", plain).alias("other"), F.concat("around", F.transform("m", plain)).alias("around"),
         F.explode(F.concat("told", F.transform(F.filter("m", lambda x: (x["pos"] >= 0) & x["head"]), plain))).alias("h"),
     )
-    apart = lambda x: (x["pos"] != F.col("h.pos")) | ((F.col("h.form") == SPLIT) & (x["form"] == SPLIT))
-    pairs = pairs.unionByName(_paired(meant, F.filter("around", lambda x: apart(x) & ((F.col("h.form") != EXACT) | (x["form"] != EXACT)))))
+    # a word as it is written has met the others that are written already
+    among = F.when(F.col("h.form") == EXACT, F.col("other")).otherwise(F.col("around"))
+    pairs = pairs.unionByName(_paired(meant, among, f"o.pos <> h.pos or h.form = {SPLIT} and o.form = {SPLIT}"))
     found = pairs.join(keys, "key").select(
         "row_id", "student_id", "level", "total", "own", "m", "stands",
         F.shiftright("place", 32).cast("int").alias("pos"), (F.col("place").bitwiseAND((1 << 32) - 1) - 2).cast("int").alias("where"),
@@ -351,9 +354,11 @@ def _place(name: str, mask: int) -> Column:
 def _places(name: str, mask: int) -> Column:
     """The token positions of a mask's bits, the lowest bit first; as many steps as there are bits."""
     none = F.array().cast("array<int>")
-    step = lambda at, _: F.struct(at["rest"].bitwiseAND(at["rest"] - 1).alias("rest"), F.concat(at["out"], F.array((F.log2(at["rest"].bitwiseAND(-at["rest"])) + 0.5).cast("int") + mask * PLACES)).alias("out"))
+    at = lambda bit: F.array((F.log2(bit) + 0.5).cast("int") + mask * PLACES)
+    step = lambda x, _: F.struct(x["rest"].bitwiseAND(x["rest"] - 1).alias("rest"), F.concat(x["out"], at(x["rest"].bitwiseAND(-x["rest"]))).alias("out"))
     start = F.struct(F.col(name).alias("rest"), none.alias("out"))
-    return F.when(F.col(name) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.bit_count(name), F.lit(1))), start, step, lambda at: at["out"]))
+    # nearly all have one bit, which takes no steps
+    return F.when(F.col(name) == 0, none).when(F.bit_count(name) == 1, at(F.col(name))).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.bit_count(name), F.lit(1))), start, step, lambda x: x["out"]))
 
 
 def _has(bit: int) -> Column:

@@ -139,6 +139,13 @@ def test_mentions_of_one_pair_keep_their_positions(spark):
     assert sorted(r.mention for r in entity_links.votes(pairs, 2).collect()) == [0, 2, 61]
 
 
+def test_classes_are_searched_once(spark):
+    texts = spark.createDataFrame([("fees Ada JSS2B", 1), ("Primary 3 Bello", 1), ("no class", 1), ("p7", 1), ("x ss.1", 1)], "t string, k int")
+    code = entity_links.class_code(texts.t)
+    assert [r[0] for r in texts.select(code).collect()] == [ord("j") * 10 + 2, ord("p") * 10 + 3, None, None, ord("s") * 10 + 1]
+    assert str(code).count("nursery") == 1
+
+
 def test_links_of_empty_tables(spark, school):
     none = spark.createDataFrame([], STATEMENTS)
     assert entity_links.matches(none, *school).count() == 0
