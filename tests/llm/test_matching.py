@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import entity_links, names, page_spam, split_overlap
 
@@ -139,6 +140,96 @@ def test_mentions_of_one_pair_keep_their_positions(spark):
     assert sorted(r.mention for r in entity_links.votes(pairs, 2).collect()) == [0, 2, 61]
 
 
+def _votes_one_by_one(pairs):
+    """The votes of pairs, (row_id, student_id, bits, heads, covers, level, total, amount, row_level, collective), by the definitions."""
+    e, out = entity_links, set()
+    near = lambda x, y: x is not None and bool(y) and abs(x / y - 1) < 0.003
+    worth = {e.EXACT: 3, e.ALIAS: 2, e.FUZZY: 2, e.SPLIT: 2, e.SURNAME: 3, e.INITIAL: 1, e.OTHER: 1, e.GUARDIAN: 3, e.GIVEN: 1, e.FAMILY: 1, e.OWN: 1}
+    first = lambda bits, order, none: next((k for k, mask in enumerate(order) if bits & mask), none)
+    for row, group in itertools.groupby(sorted(pairs, key=lambda x: x[0]), key=lambda x: x[0]):
+        votes = [(p, m) for p in group for m in range(120) if p[3] >> m & 1]
+        rivals = lambda m, votes=votes: sum(x == m for _, x in votes)
+        sure = [p[6] for p, m in votes if rivals(m) == 1 and p[6] is not None]
+        together = sum(sure) if sure else None
+        heads = known = 0
+        for p, _ in votes:
+            heads, known = heads | p[3], known | p[4]
+        many = heads.bit_count() > 1
+        judged = []
+        for p, m in votes:
+            _, student, bits, _, covers, level, total, amount, row_level, collective = p
+            lost = known & ~(covers | heads)
+            v1 = first(bits, (e.SURNAME, e.INITIAL), 3 if lost else 2)
+            v2 = first(bits, (e.GUARDIAN, e.FAMILY | e.OWN | e.GIVEN), 2 if collective else 3)
+            if amount is None or total is None:
+                v3 = 3
+            else:
+                v3 = next((k for k in (0, 1) if near(amount * (k + 1), total) or near(amount * (k + 1), together)), 3 if many and amount > total else 2)
+            v4 = 2 if level is None or row_level is None else 0 if level == row_level else 2 if many else 1
+            strength = {0: 2, 1: 1}.get(v3, 0) + {0: 1, 1: -2}.get(v4, 0) + sum(w for b, w in worth.items() if bits & b)
+            judged.append((row, student, m, int(len(votes) == 1), strength, first(bits, (e.EXACT, e.ALIAS, e.FUZZY | e.SPLIT, e.SHORT), 4), v1, v2, v3, v4))
+        for x in judged:
+            rest = [y[4] for y in judged if y[2] == x[2]]
+            out.add((*x, 2 if x[4] < max(rest) else int(rest.count(max(rest)) > 1)))
+    return out
+
+
+def test_votes_of_rows_over_several_batches(spark):
+    rng = np.random.default_rng(3)
+    some = lambda *x: x[rng.integers(len(x))]
+    rows, pairs = {r: (some(None, 1000, 2000, 0), some(None, 1, 2), some(True, False)) for r in range(60)}, []
+    for r in rows:
+        for s in range(some(1, 1, 2, 3, 17)):
+            heads = sum({1 << int(m) for m in rng.choice([0, 1, 59, 60, 61, 100], some(1, 1, 2))})
+            pairs.append((r, f"S{s}", int(rng.integers(1, 1 << 12)), heads, heads | 1 << some(2, 3, 70), some(None, 1, 2), some(None, 0, 1000, 2000, 1001), rows[r][0], rows[r][1], rows[r][2]))
+    columns = "row_id bigint, student_id string, bits int, heads0 bigint, covers0 bigint, heads1 bigint, covers1 bigint, level int, total bigint, amount bigint, row_level int, collective boolean"
+    low = (1 << entity_links.PLACES) - 1
+    frame = spark.createDataFrame([(*p[:3], p[3] & low, p[4] & low, p[3] >> 60, p[4] >> 60, *p[5:]) for p in pairs], columns)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = entity_links.votes(frame, 2)
+        got = [tuple(r) for r in found.select("row_id", "student_id", "mention", "alone", "strength", *(f"v{k}" for k in range(6))).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(set(got)) and set(got) == _votes_one_by_one(pairs)
+    assert "Window" not in found._jdf.queryExecution().toString()  # groups are found in arrays, not row by row
+
+
+def test_pairs_of_meetings():
+    place = lambda pos, where: (pos << 32) + where + 2
+    rows = [
+        (1, "S", 7, 900, 1, entity_links.EXACT, place(0, 1)), (1, None, 8, 450, 3, 1, None), (1, "T", None, None, 4, entity_links.FUZZY, place(61, -1)),
+        (1, "S", 7, 900, 1, entity_links.SURNAME, place(2, -2)), (2, None, None, 5, 0, 0, None), (3, None, None, None, None, 0, None), (3, "S", 7, 900, 1, entity_links.ALIAS, place(60, 119)),
+    ]
+    names_ = ["row_id", "student_id", "level", "total", "own", "bits", "place"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    table = lambda rows: pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names_)
+    got = entity_links.whole_pairs(table(rows), 2).select(["row_id", "student_id", "bits", "heads0", "heads1", "covers0", "covers1", "level", "total", "amount", "row_level", "collective"]).to_pylist()
+    assert [tuple(x.values()) for x in got] == [
+        (1, "S", entity_links.EXACT | entity_links.SURNAME | entity_links.INITIAL, 5, 0, 7, 0, 7, 900, 450, 8, True),
+        (1, "T", entity_links.FUZZY, 0, 2, 0, 2, None, None, 450, 8, True),
+        (3, "S", entity_links.ALIAS, 0, 1, 0, 1 | 1 << 59, 7, 900, None, None, False),
+    ]
+    assert len(entity_links.vote(entity_links.whole_pairs(table(rows[4:5]), 1), 1)[0]) == 0
+
+
+def test_links_of_children_whose_fees_are_nothing(spark, school):
+    fees = school[3].select("student_id", "fee_id", "term_id", F.lit("0").alias("amount"))
+    pupils = school[0].collect()
+    rows = [(k, "Mama " + p.name.split()[1], f"fees for {p.name}", str(k), "x") for k, p in enumerate(pupils)]
+    rows.append((None, "Mama Bello", "fees for Chidi Bello", "5", "x"))
+    got = {(r.row_id, r.student_id) for r in entity_links.matches(spark.createDataFrame(rows, STATEMENTS), *school[:3], fees).collect()}
+    assert got == {(k, p.student_id) for k, p in enumerate(pupils)}
+
+
+def test_words_one_edit_apart(spark):
+    pairs = [("zainab", "zainb", True), ("zainab", "zaniab", True), ("zainab", "zainax", True), ("zainab", "zbinaa", False), ("zainab", "aizanb", False), ("chidi", "chdii", True)]
+    words, known = (spark.createDataFrame([(x[k],) for x in pairs], "token string").distinct() for k in (1, 0))
+    mapped = entity_links.token_map(words, known.selectExpr("token", "true as name", "true as head"))
+    assert {(r.known, r.token) for r in mapped.where(f"form = {entity_links.FUZZY}").collect()} == {x[:2] for x in pairs if x[2]}
+
+
 def test_classes_are_searched_once(spark):
     texts = spark.createDataFrame([("fees Ada JSS2B", 1), ("Primary 3 Bello", 1), ("no class", 1), ("p7", 1), ("x ss.1", 1)], "t string, k int")
     code = entity_links.class_code(texts.t)
